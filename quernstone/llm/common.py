@@ -71,6 +71,18 @@ def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], object]) -> DataFrame:
+    """The rows for which ``keep`` gives true, all columns unchanged."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

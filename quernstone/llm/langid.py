@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import filter_batches, map_batches
 
 #: Bounds of the labelled sample: texts for each language, windows of words for each text, all windows.
 TEXTS_PER_LANG, WINDOWS_PER_TEXT, MAX_WINDOWS = 300, 4, 20_000
@@ -278,6 +278,13 @@ def identify(docs: DataFrame, field: ChainField, id_col: str = "doc_id", text_co
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id long, lang_pred string, score double", run)
 
 
+def keep_identified(docs: DataFrame, field: ChainField, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, unchanged, that have a language, with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    at = docs.columns.index(text_col)
+    return filter_batches(docs, lambda batch: [x != "und" and s >= least for x, s in shared.value.predict(batch.column(at).to_pylist())])
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that training never sees."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash
+from . import langid, mixing, quality, simhash
 from .common import table
 
 
@@ -23,6 +23,47 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 3) AS bin
+  FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+caps AS (
+  SELECT source, source_size, 2 * source_size AS cap,
+         [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM sources),
+filled AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS weights,
+         (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS total
+  FROM caps),
+levels AS (SELECT *, CASE WHEN (total - before) / weights * weight < cap THEN (total - before) / weights END AS level FROM filled),
+plan AS (
+  SELECT source, source_size, coalesce(least(max(level) OVER () * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM levels),
+parts AS (SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS whole FROM plan),
+bins AS (
+  SELECT source, bin, sum(size)::BIGINT AS words,
+         coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM rows GROUP BY source, bin),
+edges AS (
+  SELECT p.source, min(b.bin) AS edge, min((p.target - p.whole * p.source_size - b.before) / b.words) AS part
+  FROM bins b JOIN parts p ON b.source IS NOT DISTINCT FROM p.source
+  WHERE b.before <= p.target - p.whole * p.source_size AND b.before + b.words > p.target - p.whole * p.source_size
+  GROUP BY p.source)
+SELECT r.doc_id, r.size, p.source_size, p.target,
+       (p.whole * r.size + coalesce(CASE WHEN r.bin < e.edge THEN r.size WHEN r.bin = e.edge THEN floor(r.size * e.part + 0.5) ELSE 0 END, 0))::BIGINT AS taken
+FROM rows r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source
+LEFT JOIN edges e ON r.source IS NOT DISTINCT FROM e.source
+"""
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,7 +73,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_mixing": op3_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, simhash
+from . import langid, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -64,6 +64,11 @@ LEFT JOIN edges e ON r.source IS NOT DISTINCT FROM e.source
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op7_packing": op7_packing,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 

@@ -51,8 +51,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows per Arrow batch: whole texts travel in them, so the default of 10,000 is too many."""
+    """Rows and bytes per Arrow batch: whole texts travel in them, so the defaults are too many."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], list]) -> DataFrame:

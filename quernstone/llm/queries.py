@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, simhash
-from .common import table
+from . import langid, mixing, packing, quality, simhash, tokencount, topk
+from .common import new_path, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,30 @@ LEFT JOIN edges e ON r.source IS NOT DISTINCT FROM e.source
 """
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+OP5_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache that starts empty with each run."""
+    counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-counts"))
+    return counted.withColumn("over_limit", counted["n_tokens"] > tokencount.LIMIT)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document with their sequences."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -79,10 +103,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op5_exact_topk": OP5_SQL,
 }

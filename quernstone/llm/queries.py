@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, quality, simhash, tokencount, topk
+from . import chat, extract, langid, mixing, packing, quality, simhash, tokencount, topk
 from .common import new_path, table
 
 
@@ -65,6 +65,12 @@ LEFT JOIN edges e ON r.source IS NOT DISTINCT FROM e.source
 """
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best other vectors of every vector whose id is divisible by 20."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_exact_topk": op5_exact_topk,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,

@@ -286,3 +286,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = GROUP_CAP) -> DataFrame:
+    """One row of each component of ``docs``, unchanged: that of the least id; of equal ids, of the least text hash."""
+    found = near_duplicates(docs, id_col, text_col, cap)
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    kept = materialise(least.select(F.xxhash64("doc_id", "text_hash").alias("_key")).distinct(), "kept-rows")
+    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
+    own = own.withColumn("_key", F.xxhash64("_id", "_hash")).join(kept, "_key", "left_semi")
+    return own.dropDuplicates(["_key", "_id", "_hash"]).select(*docs.columns)

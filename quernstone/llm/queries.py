@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extract, langid, mixing, packing, quality, simhash, tokencount, topk
+from . import chat, extract, langid, licenses, mixing, packing, quality, simhash, tokencount, topk
 from .common import new_path, table
 
 
@@ -144,6 +144,19 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families found in every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("findings", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.size(sure).cast("long").alias("n_found"),
+        (F.size("findings") - F.size(sure)).cast("long").alias("n_unconfirmed"),
+        F.round(F.array_max(F.transform(sure, lambda x: x["probability"])), 6).alias("probability"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -154,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -57,7 +57,7 @@ def paired(primary: DataFrame, secondary: DataFrame, fields: tuple[str, ...], ke
 
 def development_report(labels: DataFrame, fields: tuple[str, ...] = ("problem_signal", "money_signal", "usable_evidence", "noise"), primary_size: int = 10, secondary_size: int = 5) -> tuple[DataFrame, DataFrame]:
     """Densities and agreements of the development split; raises where its gates aren't met."""
-    rounds = {r["review_round"]: r for r in labels.groupBy("review_round").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("docs"), F.count_if("assignment_split <> 'development'").alias("other")).collect()}
+    rounds = {r["review_round"]: r for r in labels.groupBy("review_round").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("docs"), F.count_if(F.col("assignment_split") != "development").alias("other")).collect()}
     for name, size in (("primary", primary_size), ("secondary", secondary_size)):
         r = rounds.get(name)
         if r is None or r["n"] != size or r["docs"] != size or r["other"]:

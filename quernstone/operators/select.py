@@ -6,13 +6,17 @@ selection runs in rounds, each a written table: a row is accepted when fewer tha
 earlier rows *still possible* share each of its keys, and rejected once that many earlier
 *accepted* rows do.  The earliest undecided row is decided in every round, so it ends, and any
 number of rows of one key costs no single task: ranks come from windows with a group limit, which
-every task applies before the shuffle.
+every task applies before the shuffle.  Once no more than ``FOLD_ROWS`` keys of undecided rows are
+left, a fold in order settles them in one task; it also reads at most the limit of accepted rows
+for each of those keys.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +24,10 @@ from pyspark.sql.window import Window
 from .. import tables
 
 
+#: Keys of undecided rows that one task settles.
+FOLD_ROWS = 200_000
+
+
 @dataclass(frozen=True)
 class Key:
     """Rows that share ``column`` (a string, or an array of them) conflict beyond ``limit``."""
@@ -44,7 +52,7 @@ def notice_keys(max_per_buyer: int = 2) -> list[Key]:
     return [Key("duplicate_notice", F.col("notice_id")), Key("duplicate_procedure", F.col("procedure_id")), Key("buyer_limit_reached", F.col("buyer_ids"), max_per_buyer)]
 
 
-def select(rows: DataFrame, order: Column, keys: list[Key], quota: int | None = None, before: DataFrame | None = None) -> DataFrame:
+def select(rows: DataFrame, order: Column, keys: list[Key], quota: int | None = None, before: DataFrame | None = None, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """``rows`` with ``accepted`` and ``reason``.
 
     ``order`` must tell all rows apart.  With a ``quota`` the rows after the one that fills it are
@@ -57,9 +65,16 @@ def select(rows: DataFrame, order: Column, keys: list[Key], quota: int | None =
     widths = placed.select("_ord", F.aggregate(F.array(*[F.size(p) for p in parts]), F.lit(0), lambda a, b: a + b).alias("n_keys"))
     state = tables.written(widths.withColumn("state", F.lit(0)), "selection-state")  # 0 undecided, 1 accepted, -1 rejected
     prior = before if before is not None else spark.createDataFrame([], "rule int, limit int, key string, _ord bigint")
-    while state.where("state = 0").take(1):
+    while True:
+        left = state.where("state = 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+        if not left[0]:
+            break
         possible = held.join(state.where("state >= 0").select("_ord", "state"), "_ord").select("rule", "limit", "key", "_ord", "state")
         possible = possible.unionByName(prior.withColumn("state", F.lit(1)))
+        if left[1] <= fold_rows:
+            decided = _folded(possible, state)
+            state = tables.written(state.join(decided, "_ord", "left").select("_ord", "n_keys", F.coalesce("new", F.when(F.col("state") == 0, 1).otherwise(F.col("state"))).alias("state")), "selection-state")
+            break
         top = max(k.limit for k in keys)
         rank = F.row_number().over(Window.partitionBy("rule", "key").orderBy("_ord"))
         early = possible.withColumn("rank", rank).where((F.col("rank") <= top) & (F.col("rank") <= F.col("limit")))
@@ -90,10 +105,35 @@ def select(rows: DataFrame, order: Column, keys: list[Key], quota: int | None =
     return result.drop("_ord", "state")
 
 
+def _folded(possible: DataFrame, state: DataFrame) -> DataFrame:
+    """(_ord, new) for the undecided rows that have a key, by a fold in order."""
+    undecided = possible.where("state = 0")
+    relevant = possible.where("state = 1").join(undecided.select("rule", "key").distinct(), ["rule", "key"], "left_semi")
+    rows = undecided.unionByName(relevant).withColumn("_all", F.lit(0))
+
+    def fold(part):
+        counts: dict[tuple, int] = {}
+        orders, verdicts = [], []
+        part = part.sort_values(["_ord", "state"], kind="stable")
+        for (ord_, decided), group in itertools.groupby(zip(part["_ord"], part["state"], part["rule"], part["limit"], part["key"]), lambda r: r[:2]):
+            held = [((rule, key), limit) for _, _, rule, limit, key in group]
+            accept = bool(decided) or all(counts.get(k, 0) < limit for k, limit in held)
+            if accept:
+                for k, _ in held:
+                    counts[k] = counts.get(k, 0) + 1
+            if not decided:
+                orders.append(ord_)
+                verdicts.append(1 if accept else -1)
+        return pd.DataFrame({"_ord": orders, "new": verdicts})
+
+    return rows.groupBy("_all").applyInPandas(fold, "_ord bigint, new int")
+
+
 def _held(rows: DataFrame, n: int, key: Key) -> Column:
     """Array of (rule, limit, key): the distinct values that a row holds of one key."""
     several = rows.select(key.column.alias("x")).schema[0].dataType.typeName() == "array"
-    values = F.array_distinct(F.filter(key.column if several else F.array(key.column), lambda v: v.isNotNull()))
+    whole = F.coalesce(key.column, F.array().cast("array<string>")) if several else F.array(key.column)
+    values = F.array_distinct(F.filter(whole, lambda v: v.isNotNull()))
     return F.transform(values, lambda v: F.struct(F.lit(n).alias("rule"), F.lit(key.limit).alias("limit"), v.cast("string").alias("key")))
 
 

@@ -75,7 +75,7 @@ class PatternProgram:
         self.row = {int(x): i for i, x in enumerate(self.lengths)}
         self.demand = np.array([demand[int(x)] for x in self.lengths], float)
         self.patterns: list[dict[int, int]] = []
-        self.x = np.zeros(0)
+        self.x, self.cost = np.zeros(0), np.zeros(0)
 
     def _begin(self) -> None:
         """A feasible basis: complementary pairs, and one length alone for what they leave."""

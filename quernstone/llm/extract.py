@@ -117,18 +117,17 @@ def never(key: str) -> bool:
 
 @dataclass
 class Weights:
-    """Scores of tags, and the keys that labelled pages show only outside of articles, or mostly inside."""
+    """Scores of tags, and the keys that labelled pages show only outside of articles."""
 
     score: dict[str, float] = field(default_factory=dict)
     outside: frozenset = frozenset()
-    inside: frozenset = frozenset()
 
     def of(self, key: str) -> float:
         return self.score.get(key.removeprefix("/"), TAG_SCORE)
 
     def dropped(self, within: tuple, article: bool) -> bool:
         for key in within:
-            if key in self.outside or never(key) and key not in self.inside or not article and key.split(" ", 1)[0] == "header" and "main" not in within:
+            if key in self.outside or never(key) or not article and key.split(" ", 1)[0] == "header" and "main" not in within:
                 return True
         return False
 
@@ -151,8 +150,7 @@ def learn(pages: list[str]) -> Weights:
     score = {k: TAG_SCORE + ODDS_SCORE * max(0.0, math.log((outside.get(k, 0) + 1) / (inside.get(k, 0) + 1))) for k in inside | outside}
     # a named element that is common outside and neither stands in an article nor holds one
     only = frozenset(k for k, n in outside.items() if n >= max(5, len(pages) // 50) and " " in k and not inside.get(k) and not held.get(k))
-    mostly = frozenset(k for k, n in inside.items() if n >= 5 and n > 4 * outside.get(k, 0) and k.split(" ", 1)[0] not in NEVER)
-    return Weights(score, only, mostly)
+    return Weights(score, only)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

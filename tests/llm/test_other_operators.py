@@ -24,6 +24,11 @@ def test_main_text(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_notices_within_labelled_articles_go():
+    pages = [PAGE.replace("word", f"word{i}") for i in range(30)]
+    assert {extract.main_text(p, extract.learn(pages)) for p in pages} == {TEXT}
+
+
 def test_best_region_equals_brute_force():
     rng = random.Random(1)
     for _ in range(200):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +16,9 @@ from ..functions.ids import score
 from ..schemas import EVIDENCE_KINDS
 from .quality import violations
 
+#: Rows and values of a chunk of vectors, rows of one product, pairs decided at once.
+CHUNK, CHUNK_VALUES, STRIP, PRODUCTS = 16_384, 1 << 22, 128, 32_768
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the non-root nodes of edges (a, b): the least node each is connected to.
@@ -54,29 +62,144 @@ def independence_groups(evidence: DataFrame, id_col: str, keys: dict[str, Column
     return evidence.join(roots, F.col(id_col) == F.col("node"), "left").withColumn("group_id", F.coalesce("root", F.col(id_col))).drop("node", "root")
 
 
-def similarity_links(vectors: DataFrame, id_col: str, vector_col: str, least: float, tables_: int = 8, bits: int = 12, seed: int = 3) -> DataFrame:
-    """Pairs (a, b) of vectors with a cosine of ``least`` or more that share a bucket of random hyperplanes.
+def similarity_links(vectors: DataFrame, id_col: str, vector_col: str, least: float, spanning: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """All pairs (a, b), a > b, of vectors with a cosine of ``least`` or more, and their greatest cosine.
 
-    Candidates are hashed (recall grows with ``tables_``); every pair found is checked exactly.
+    With ``spanning`` only pairs that connect the same rows, without cosines: each row to the least
+    it is connected to in its chunk, and between two chunks one pair for each two groups they join,
+    so that a group of like vectors gives no square of links.  Chunks of vectors meet once each;
+    single-precision products, whose error is bounded, leave the pairs that double precision
+    decides.  A vector that is null, zero, or holds a null or non-finite component takes no part;
+    vectors of different lengths have no link.
     """
-    import numpy as np
-
-    width = len(vectors.select(vector_col).where(F.col(vector_col).isNotNull()).first()[0])
-    planes = np.random.default_rng(seed).standard_normal((tables_, bits, width)).round(6)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    unit = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda v: v.cast("double")).alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).where("norm > 0")
-    unit = unit.select("id", F.transform("v", lambda v: v / F.col("norm")).alias("v"))
-    buckets = []
-    for t in range(tables_):
-        code = F.lit(0)
-        for b in range(bits):
-            plane = F.from_json(F.lit(str(planes[t, b].tolist())), "array<double>")
-            code = code + F.when(dot(F.col("v"), plane) >= 0, 1 << b).otherwise(0)
-        buckets.append(F.struct(F.lit(t).alias("t"), code.alias("code")))
-    placed = unit.select("id", "v", F.inline(F.array(*buckets)))
-    a, b = placed.select(F.col("id").alias("a"), F.col("v").alias("va"), "t", "code"), placed.select(F.col("id").alias("b"), F.col("v").alias("vb"), "t", "code")
-    pairs = a.join(b, ["t", "code"]).where("a > b").withColumn("cosine", dot(F.col("va"), F.col("vb"))).where(F.col("cosine") >= least)
-    return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    spark = vectors.sparkSession
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    value = "float" if kind == "float" else "double"
+    x = F.transform(F.col(vector_col), lambda e: e.cast(value))
+    sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(x, lambda e: e != 0)
+    rows = vectors.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), x.alias("v"))
+    parts = max(1, -(-rows.count() // chunk))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    packed = rows.repartition(parts, F.xxhash64("id")).mapInArrow(_packed(chunk, least, spanning, value), f"width int, ids array<{id_type}>, matrix binary, roots binary")
+    chunks = tables.written(packed.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    # every chunk meets itself and, going round, half of the others of its width: one row a pair
+    order = Window.partitionBy("width").orderBy("chunk")
+    places = chunks.select("width", "chunk").withColumn("n", F.count("*").over(Window.partitionBy("width"))).withColumn("at", F.row_number().over(order) - 1)
+    ahead = places.select("width", "n", F.col("chunk").alias("left"), "at", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))).alias("step"))
+    ahead = ahead.where((F.col("step") * 2 < F.col("n")) | (F.col("at") * 2 < F.col("n"))).withColumn("at", (F.col("at") + F.col("step")) % F.col("n"))
+    pairs = ahead.join(places.select("width", "at", F.col("chunk").alias("right")), ["width", "at"]).select("left", "right")
+    right = chunks.select(F.col("chunk").alias("right"), F.col("ids").alias("ids_b"), F.col("matrix").alias("matrix_b"), F.col("roots").alias("roots_b"))
+    left = chunks.select(F.col("chunk").alias("left"), "width", F.col("ids").alias("ids_a"), F.col("matrix").alias("matrix_a"), F.col("roots").alias("roots_a"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # matrices, not rows
+    met = pairs.join(right, "right").join(left, "left").select("width", (F.col("left") == F.col("right")).alias("own"), "ids_a", "matrix_a", "roots_a", "ids_b", "matrix_b", "roots_b")
+    found = met.mapInArrow(_linked(least, spanning, value), f"a {id_type}, b {id_type}, cosine double")
+    return found.select("a", "b").distinct() if spanning else found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def _packed(rows: int, least: float, spanning: bool, kind: str):
+    """Rows of a partition, by id, as matrices of at most ``rows`` rows and ``CHUNK_VALUES`` values; roots are places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def matrix(width: int) -> pa.RecordBatch:
+            part = sorted(held.pop(width), key=lambda row: row[0])
+            raw = np.array([v for _, v in part]).astype("<f4" if kind == "float" else "<f8").tobytes()
+            root = np.arange(len(part))
+            if spanning:
+                x = _unit(raw, width, kind)
+                for i, j, _ in _strips(x, x, least, True, True):
+                    _hook(root, i, j)
+            columns = [pa.array([width], pa.int32()), pa.array([[i for i, _ in part]], pa.list_(batch.column(0).type)), pa.array([raw], pa.binary()), pa.array([root.astype("<i4").tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["width", "ids", "matrix", "roots"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = held.setdefault(len(v), [])
+                part.append((i, v.values.to_numpy()))
+                if len(part) >= rows or len(part) * len(v) >= CHUNK_VALUES:
+                    yield matrix(len(v))
+        for width in list(held):
+            yield matrix(width)
+
+    return run
+
+
+def _unit(raw: bytes, width: int, kind: str) -> np.ndarray:
+    x = np.frombuffer(raw, "<f4" if kind == "float" else "<f8").reshape(-1, width).astype(float)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # squares of any finite value fit
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _strips(x: np.ndarray, y: np.ndarray, least: float, own: bool, sure_too: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Places (i, j) of the linked rows of x and y, with cosines unless ``sure_too``; in one chunk, i > j."""
+    slack = (x.shape[1] + 8) * 2.0**-23  # twice the error of single-precision products of unit vectors
+    x4, y4 = x.astype("f4"), y.astype("f4")
+    for at in range(0, len(x), STRIP):
+        near = x4[at : at + STRIP] @ y4.T
+        i, j = np.nonzero(near >= least - slack)
+        if own:
+            i, j = i[i + at > j], j[i + at > j]
+        sure = near[i, j] >= least + slack
+        i = i + at
+        if sure_too:
+            yield i[sure], j[sure], None
+            i, j = i[~sure], j[~sure]
+        for k in range(0, len(i), PRODUCTS):
+            a, b = i[k : k + PRODUCTS], j[k : k + PRODUCTS]
+            cosine = (x[a] * y[b]).sum(1)
+            on = cosine >= least
+            yield a[on], b[on], cosine[on]
+
+
+def _hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Connect places a and b in ``root``, every place's least connected one."""
+    while True:
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+        if not len(a):
+            return
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
+def _linked(least: float, spanning: bool, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, own, ids_a, raw_a, roots_a, ids_b, raw_b, roots_b in zip(*batch.columns):
+                ids_a, ids_b = ids_a.values, ids_b.values
+                left = np.frombuffer(roots_a.as_py(), "<i4").astype(np.int64)
+                if own.as_py() and spanning:  # its groups are known
+                    linked = np.flatnonzero(left != np.arange(len(left)))
+                    yield _pairs(ids_a, linked, left[linked], np.zeros(len(linked)))
+                    continue
+                x, y = (_unit(raw.as_py(), width.as_py(), kind) for raw in (raw_a, raw_b))
+                ids = pa.concat_arrays([ids_a, ids_b])
+                order = np.asarray(pc.sort_indices(ids)).astype(np.int64)
+                rank = np.empty(len(ids), np.int64)
+                rank[order] = np.arange(len(ids))
+                ids = ids.take(pa.array(order))
+                if spanning:
+                    place = np.concatenate([left, np.frombuffer(roots_b.as_py(), "<i4").astype(np.int64) + len(x)])
+                    root = np.arange(len(ids))
+                    for i, j, _ in _strips(x, y, least, False, True):
+                        _hook(root, rank[place[i]], rank[place[j + len(x)]])
+                    linked = np.flatnonzero(root != np.arange(len(root)))
+                    yield _pairs(ids, linked, root[linked], np.zeros(len(linked)))
+                    continue
+                for i, j, cosine in _strips(x, y, least, own.as_py(), False):
+                    a, b = rank[i], rank[j + len(x)]
+                    yield _pairs(ids, np.maximum(a, b), np.minimum(a, b), cosine)
+
+    return run
+
+
+def _pairs(ids: pa.Array, a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
+    first, second = ids.take(pa.array(a)), ids.take(pa.array(b))
+    found = pa.RecordBatch.from_arrays([first, second, pa.array(cosine)], names=["a", "b", "cosine"])
+    return found.filter(pc.not_equal(first, second))  # rows of one id have no link
 
 
 def evidence_gate(evidence: DataFrame, by: str, as_of: Column) -> DataFrame:

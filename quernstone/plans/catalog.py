@@ -446,7 +446,7 @@ def q_independence_groups(spark, d):
 
 @query()
 def q_cluster_similarity(spark, d):
-    links = opportunity.similarity_links(table(spark, d, "embeddings"), "vec_id", "embedding", 0.7)
+    links = opportunity.similarity_links(table(spark, d, "embeddings"), "vec_id", "embedding", 0.7, spanning=True)
     roots = opportunity.components(links.select("a", "b"))
     return table(spark, d, "embeddings").join(roots, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("root", "vec_id").alias("cluster_id"))
 

@@ -1,6 +1,8 @@
 import datetime
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,37 @@ def test_independence_groups(spark):
     rows = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, None, "x"), (4, "b", None), (5, None, None)], "id long, author string, thread string")
     got = {r.id: r.group_id for r in opportunity.independence_groups(rows, "id", {"a": F.col("author"), "t": F.col("thread")}).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+@pytest.mark.parametrize(("chunk", "kind"), [(16_384, "float"), (40, "float"), (40, "double")])
+def test_similarity_links_equal_brute_force(spark, chunk, kind):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(150):  # pairs at cosines 0.66 to 0.94, about 0.7 among them
+        v, w = rng.normal(size=(2, 24))
+        v /= np.linalg.norm(v)
+        w -= (w @ v) * v
+        c = 0.66 + 0.28 * i / 150
+        rows += [(2 * i, (3 * v).tolist()), (2 * i + 1, (c * v + math.sqrt(1 - c * c) * w / np.linalg.norm(w)).tolist())]
+    rows += [(300 + i, rows[0][1]) for i in range(60)]  # copies
+    bad = [(400, None), (401, [1.0, None, *[0.0] * 22]), (402, [math.nan] * 24), (403, [math.inf] * 24), (404, [0.0] * 24), (405, rows[0][1][:23]), (None, rows[0][1])]
+    data = spark.createDataFrame(rows + bad, f"id long, v array<{kind}>").repartition(3)
+    x = np.array([v for _, v in rows], "f4" if kind == "float" else "f8").astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j): c for (i, j), c in np.ndenumerate(x @ x.T) if i > j and c >= 0.7}
+    assert sum(0.7 <= c < 0.9 for c in want.values()) > 100
+    got = {(r.a, r.b): r.cosine for r in opportunity.similarity_links(data, "id", "v", 0.7, chunk=chunk).collect()}
+    ids = [i for i, _ in rows]
+    assert set(got) == {(ids[i], ids[j]) for i, j in want} and all(abs(got[ids[i], ids[j]] - c) < 1e-12 for (i, j), c in want.items())
+    some = opportunity.similarity_links(data, "id", "v", 0.7, spanning=True, chunk=chunk)
+    assert some.count() < len(rows) * 10
+    roots = {r.node: r.root for r in opportunity.components(some).collect()}
+    least = {i: i for i in ids}
+    for _ in ids:
+        before = dict(least)
+        for i, j in want:
+            least[ids[i]] = least[ids[j]] = min(least[ids[i]], least[ids[j]])
+        if least == before:
+            break
+    assert {i: roots.get(i, i) for i in ids} == least
+    assert opportunity.similarity_links(data.where("false"), "id", "v", 0.7).count() == 0

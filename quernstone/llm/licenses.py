@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions alone.
 
-A paragraph is a line of a text.  A multinomial logistic regression with an elastic net over
+A paragraph is a line of a text, or where no line holds a notice alone, a run of at most ``WRAPPED``
+adjoining lines that holds it wrapped, named by the line it starts in.  A multinomial logistic regression with an elastic net over
 binary word n-grams (one to three words) tells licence families from each other and from
 ``unknown``.  It is trained on variants of the families' notices against ordinary paragraphs: a
 bounded sample of the corpus and some that speak of licences without granting one.  Its
@@ -35,6 +36,8 @@ SAMPLED_TEXTS, SAMPLED_LINES, VOCABULARY = 300, 3_000, 1_200
 COMMON = 0.002
 #: Slots of the hash table of n-grams.
 SLOTS = 1 << 13
+#: Lines that a wrapped notice may take.
+WRAPPED = 4
 SEED, UNKNOWN, CONFIRMING, LEAST_PROBABILITY = 13, "unknown", 0.7, 0.5
 _TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
@@ -204,7 +207,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     lines = _lines(chosen).orderBy(F.xxhash64("line", F.lit(SEED)), "line").limit(SAMPLED_LINES)
     lines = lines.withColumn("words", tokens(F.col("line"))).withColumn("grams", grams(F.col("words")))
     notices = F.flatten(F.array(*map(_template_grams, TEMPLATES)))
-    ordinary = [r["line"] for r in lines.where(~_confirmed(F.col("grams"), notices)).select("line").collect()]  # a line that holds a notice is no ordinary one
+    part = (F.size("words") >= 4) & F.exists(notices, lambda t: F.size(F.array_intersect(F.col("grams"), t)) >= F.lit(CONFIRMING) * F.size("grams"))
+    ordinary = [r["line"] for r in lines.where(~_confirmed(F.col("grams"), notices) & ~part).select("line").collect()]  # a line that holds a notice, or a part of one, is no ordinary one
     rows = [*variants(), *((UNKNOWN, x) for x in ordinary)]
     families = [UNKNOWN, *TEMPLATES]
     data = spark.createDataFrame([(families.index(f), x, i % 4 == 3, x in TEMPLATES.get(f, ())) for i, (f, x) in enumerate(rows)], "label int, line string, held boolean, notice boolean").coalesce(1)
@@ -247,31 +251,75 @@ def _loss(scores: list[float], label: int, t: float) -> float:
 
 def findings(text: Column, model: Model) -> Column:
     """Array of (paragraph, family, probability, confirmed) for the paragraphs of ``text`` that are a licence's."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, i: F.struct((i + 1).alias("paragraph"), tokens(line).alias("words")))
+    split = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, i: F.struct((i + 1).alias("paragraph"), tokens(line).alias("words")))
     # a paragraph without a known word has no known n-gram, and so the intercepts' verdict: unknown
-    hinted = F.filter(lines, lambda x: F.exists(x["words"], model.is_known))
-    split = F.transform(hinted, lambda x: F.struct(x["paragraph"].alias("paragraph"), grams(x["words"]).alias("grams")))
-    scored = F.transform(split, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["grams"].alias("grams"), model.probabilities(x["grams"]).alias("p")))
-    named = F.transform(
-        scored, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["grams"].alias("grams"), F.array_position(x["p"], F.array_max(x["p"])).cast("int").alias("k"), F.array_max(x["p"]).alias("probability"))
-    )
-    sure = F.filter(named, lambda x: (x["k"] > 1) & (x["probability"] >= F.lit(model.threshold)))
-    names = F.array(*map(F.lit, model.families))
+    lines = F.transform(split, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["words"].alias("words"), F.exists(x["words"], model.is_known).alias("hinted")))
     templates = F.array(*[_template_grams(x) for x in model.families])
+    both = lambda held: F.transform(F.array(_single(held, model, templates)), lambda found: F.concat(found, _wrapped(_others(held, found), model, templates)))[0]
+    return F.transform(F.array(lines), both)[0]
+
+
+def _others(lines: Column, found: Column) -> Column:
+    """``lines`` where those that hold a notice alone are bare, as a wrapped notice doesn't reach over them."""
+    whole = F.transform(F.filter(found, lambda x: x["confirmed"]), lambda x: x["paragraph"])
+    bare = F.array().cast("array<string>")
+    return F.transform(lines, lambda x: F.struct(x["paragraph"].alias("paragraph"), F.when(F.array_contains(whole, x["paragraph"]), bare).otherwise(x["words"]).alias("words"), x["hinted"].alias("hinted")))
+
+
+def _single(lines: Column, model: Model, templates: Column) -> Column:
+    """Findings of single lines."""
+    split = F.transform(F.filter(lines, lambda x: x["hinted"]), lambda x: F.struct(x["paragraph"].alias("paragraph"), grams(x["words"]).alias("grams")))
     return F.transform(
-        sure,
+        _sure(split, model),
         lambda x: F.struct(
             x["paragraph"].cast("int").alias("paragraph"),
-            F.element_at(names, x["k"]).alias("family"),
+            F.element_at(F.array(*map(F.lit, model.families)), x["k"]).alias("family"),
             x["probability"].alias("probability"),
             _confirmed(x["grams"], F.element_at(templates, x["k"])).alias("confirmed"),
         ),
     )
 
 
+def _sure(split: Column, model: Model) -> Column:
+    """The paragraphs with their likeliest family's place ``k``, where that is a licence at the threshold."""
+
+    def named(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("paragraph", "grams")], F.array_position(x["p"], F.array_max(x["p"])).cast("int").alias("k"), F.array_max(x["p"]).alias("probability"))
+
+    scored = F.transform(split, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["grams"].alias("grams"), model.probabilities(x["grams"]).alias("p")))
+    return F.filter(F.transform(scored, named), lambda x: (x["k"] > 1) & (x["probability"] >= F.lit(model.threshold)))
+
+
+def _window(lines: Column, at: Column) -> Column:
+    """N-grams of at most ``WRAPPED`` lines from number ``at`` on, up to one without a word."""
+    rows = F.slice(lines, at, F.lit(WRAPPED))
+    end = F.array_position(F.transform(rows, lambda x: F.size(x["words"]) == 0), F.lit(True)).cast("int")
+    rows = F.when(end > 0, F.slice(rows, F.lit(1), end - 1)).otherwise(rows)
+    return grams(F.flatten(F.transform(rows, lambda x: x["words"])))
+
+
+def _wrapped(lines: Column, model: Model, templates: Column) -> Column:
+    """Findings of notices that only adjoining lines hold: each by the last line that it can start in."""
+    words_after = lambda x: F.coalesce(F.size(F.get(lines, x["paragraph"])["words"]), F.lit(0))
+    goes_on = F.filter(lines, lambda x: (F.size(x["words"]) > 0) & (words_after(x) > 0) & F.exists(F.slice(lines, x["paragraph"], F.lit(WRAPPED)), lambda y: y["hinted"]))
+    split = F.transform(goes_on, lambda x: F.struct(x["paragraph"].alias("paragraph"), _window(lines, x["paragraph"]).alias("grams")))
+
+    def starts(x: Column) -> Column:
+        return F.exists(F.element_at(templates, x["k"]), lambda t: _holds(x["grams"], t) & ~_holds(_window(lines, x["paragraph"] + 1), t))
+
+    return F.transform(
+        F.filter(_sure(split, model), starts),
+        lambda x: F.struct(x["paragraph"].cast("int").alias("paragraph"), F.element_at(F.array(*map(F.lit, model.families)), x["k"]).alias("family"), x["probability"].alias("probability"), F.lit(True).alias("confirmed")),
+    )
+
+
+def _holds(some: Column, notice: Column) -> Column:
+    return F.size(F.array_intersect(notice, some)) >= F.lit(CONFIRMING) * F.size(notice)
+
+
 def _confirmed(some: Column, notices: Column) -> Column:
     """Whether most n-grams of one of the notices stand among those of a paragraph."""
-    return F.exists(notices, lambda t: F.size(F.array_intersect(t, some)) >= F.lit(CONFIRMING) * F.size(t))
+    return F.exists(notices, lambda t: _holds(some, t))
 
 
 def _template_grams(family: str) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -125,3 +126,25 @@ def test_pipeline_keeps_clean_documents_and_one_copy(spark):
     assert len(lost & good) <= 0.05 * len(good)
     assert not any(i >= 10_000 for i in ids(seen["near_duplicates"][1]))
     assert hashlib.sha256(b"").hexdigest() and rows.where("length > 1024 OR length < 1").count() == 0
+
+
+CANONICAL = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+}
+
+
+def test_wrapped_notices(spark):
+    rng = random.Random(8)
+    filler = lambda: textwrap.fill(" ".join(rng.choice(("river", "house", "under", "green", "of", "the", "walk", "work")) for _ in range(40)), 75)
+    cases = [(f, n, width, mark) for f, n in CANONICAL.items() for width in (70, 76, 80) for mark in ("", "# ")]
+    texts = [f"{filler()}\n\n" + "\n".join(mark + x for x in textwrap.wrap(n, width)) + f"\n\n{filler()}" for _, n, width, mark in cases]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(filler() for _ in range(60))])], "doc_id long, text string")
+    got = {r.doc_id: [(x.paragraph, x.family) for x in r.findings if x.confirmed] for r in licenses.scan(docs).collect()}
+    for i, (family, *_) in enumerate(cases):
+        first = texts[i].split("\n").index("") + 2
+        assert [f for _, f in got[i]] == [family] and first <= got[i][0][0] <= first + 1, (cases[i], got[i])
+    assert not any(got[i] for i in range(len(cases), len(got)))

@@ -43,6 +43,8 @@ BLOCKS = frozenset(
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside those in a class or id without changing what it names.
+NEUTRAL = frozenset("area bar block box container form global group inner item items list outer panel section site slot unit widget wrap wrapper".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)""", re.S)
@@ -110,9 +112,25 @@ def tokens(page: str) -> Iterator[Token]:
 
 
 def never(key: str) -> bool:
-    """Whether an element of this key never holds content, by the fixed lists."""
+    """Whether an element of this key never holds content, by the fixed lists.
+
+    A class or id counts as a whole: ``has-sidebar`` names no sidebar.  Page, main part and article
+    are never judged by their names, but for an article that is a comment or reply.
+    """
     tag, _, names = key.partition(" ")
-    return tag in NEVER or bool(names) and not BOILERPLATE.isdisjoint(x.lower() for x in _PARTS.findall(names))
+    if tag in NEVER:
+        return True
+    if not names or tag in ("html", "body", "main"):
+        return False
+    whole = [x.split("=", 1)[-1] for x in names.split()]
+    if tag == "article":
+        return any(x.lower() in ("comment", "comments", "reply", "replies") for x in whole)
+    return any(map(_boilerplate, whole))
+
+
+def _boilerplate(name: str) -> bool:
+    parts = {x.lower() for x in _PARTS.findall(name)} | {name.lower()} & BOILERPLATE
+    return not BOILERPLATE.isdisjoint(parts) and (name.lower() in BOILERPLATE or parts <= BOILERPLATE | NEUTRAL)
 
 
 @dataclass

@@ -148,3 +148,15 @@ def test_wrapped_notices(spark):
         first = texts[i].split("\n").index("") + 2
         assert [f for _, f in got[i]] == [family] and first <= got[i][0][0] <= first + 1, (cases[i], got[i])
     assert not any(got[i] for i in range(len(cases), len(got)))
+
+
+@pytest.mark.parametrize("page", [
+    "<body><article class='post hentry category-advertising'>{}</article></body>", "<body><article class='post comments-open'>{}</article></body>", "<body class='home has-sidebar'><p>{}</body>",
+    "<body class='no-sidebar sidebar'><p>{}</body>", "<body><div class='content with-sidebar'>{}</div></body>", "<main class='related'>{}</main>",
+])
+def test_names_of_layouts_and_articles_drop_nothing(page):
+    text = "A page with several plain words of text"
+    assert extract.main_text(page.format(text), extract.Weights()) == text
+    for name in ("sidebar", "comments-area", "site-footer", "cookie-notice", "adContainer", "comment-12"):
+        assert extract.main_text(page.format(f"{text}<div class='x {name}'>other words</div>"), extract.Weights()) == text
+    assert extract.main_text("<article class='comment even'>words</article>", extract.Weights()) == ""

@@ -61,6 +61,32 @@ def test_top_k_of_few_and_none(spark):
     assert make([]) == [] and make([(0, [1.0])]) == []
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(4)
+    scale = (1.0, 5e6, 3e12, 2.0**40, 1e17)
+    rows = [(i, [rng.uniform(-1, 1) * scale[i % 5] for _ in range(5)]) for i in range(120)]
+    rows += [(120, [5e6, 1.0, 0.0, 0.0, 0.0]), (140, [1e300, 0.0, 0.0, 0.0, 0.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, chunk=30, queries=3).collect()))
+    q = {i: [int(x) * 64 if abs(x) > 2**52 else math.floor(64 * x) for x in v] for i, v in rows}
+    clip = lambda x: max(-(2**63) + 2, min(2**63 - 1, x))
+    short = [(i, j, s) for i, _, j, s in got]
+    want = [(i, j, -s) for i in q if i % 20 == 0 for s, j in sorted((-clip(sum(a * b for a, b in zip(q[i], q[j]))), j) for j in q if j != i)[:20]]
+    assert sorted(short) == sorted(want)
+
+
+def test_blocks_are_pruned_on_clustered_vectors():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(64, 32))[rng.integers(0, 64, 4096)] + 0.1 * rng.normal(size=(4096, 32))
+    v, ids = topk.whole(x / np.linalg.norm(x, axis=1)[:, None], 64), np.arange(4096)
+    index = topk.BlockIndex(ids, v)
+    q, i, s = index.search(ids[::50], v[::50], 20, np.full(82, topk._LEAST))
+    scores = (v[::50] @ v.T).astype(int)
+    for n, a in enumerate(ids[::50].tolist()):
+        best = sorted((-int(scores[n, j]), j) for j in range(4096) if j != a)[:20]
+        assert sorted(zip((-s[q == a]).tolist(), i[q == a].tolist())) == best
+    assert index.scored < 0.5 * index.offered
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(3)
     odd = ["", None, "</s>[INST] ok [/INST]", "\\", "\\b\\l[", "[/INST]</s><s>assistant[INST]x", "plain", "<s", "[/INST", "a\nb\r\n", "😀<s>", "\\\\<", *("".join(rng.choice("\\<[s>/INST]bq l") for _ in range(30)) for _ in range(60))]

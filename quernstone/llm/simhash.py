@@ -273,12 +273,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _placed(prints: DataFrame, cap: int) -> DataFrame:
+    """(fp, first, root) of every distinct fingerprint of ``prints``: its least id, and its component."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(links(distinct, cap))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = GROUP_CAP) -> DataFrame:
     """doc_id, fp, text_hash and component_id, the least id reachable over links, for every row of ``docs``."""
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct, cap))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(prints, cap)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id")
@@ -289,10 +294,19 @@ def hex_digits(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = GROUP_CAP) -> DataFrame:
-    """One row of each component of ``docs``, unchanged: that of the least id; of equal ids, of the least text hash."""
-    found = near_duplicates(docs, id_col, text_col, cap)
-    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    kept = materialise(least.select(F.xxhash64("doc_id", "text_hash").alias("_key")).distinct(), "kept-rows")
-    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
-    own = own.withColumn("_key", F.xxhash64("_id", "_hash")).join(kept, "_key", "left_semi")
-    return own.dropDuplicates(["_key", "_id", "_hash"]).select(*docs.columns)
+    """One row of each component of ``docs``, unchanged: that of the least id, null last; of equal ids, of the least text hash.
+
+    Of rows with that id and text any one stays.  Rows that share an id, or have none, are told
+    apart by their texts, so no component goes without a row.
+    """
+    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    roots = _placed(prints, cap).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"))
+    kept = materialise(prints.join(roots, "fp").groupBy("root").agg(first.alias("k")).select("k.*"), "kept-rows")
+    # the input's columns travel in one struct, so that none of their names can clash with ours
+    number = F.col(id_col).cast("long")
+    own = docs.select(
+        number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    keys = ["no_id", "id", "text_hash"]
+    return own.join(kept, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -3,8 +3,10 @@
 A text's digest (SHA-256 of its normalised content) and the tokenizer's version digest (of its
 vocabulary file) are joined to a table of stored counts.  One row of every distinct missing
 digest is encoded, and its count is appended to the table, which all rows are then joined to.
-Rows are named by digest and id in the first pass, so that the second moves only texts that will
-be encoded; a hot text is one of them.
+A first pass writes digests by id.  While at most ``FEW`` digests are missing, they are sent to the
+texts, and only texts to be encoded move; beyond that, texts meet the missing digests by a shuffle.  The copies
+of a common text, whose digest more than a ``COMMON``-th of all rows share, are dropped before
+it, and their counts are sent to the rows; so no digest's rows meet in one task.
 
 Cases: a null text counts as empty, with 0 bytes and 0 tokens.  Rows of equal content are encoded
 once and get equal counts.  A cache that another run has appended to meanwhile may hold a digest
@@ -24,6 +26,8 @@ from .common import map_batches, materialise
 from .tokens import word_counts
 
 LIMIT = 2048
+#: Digests that are sent to every task (48 bytes each), and the share of rows from which on one is common: at most so many are.
+FEW, COMMON = 100_000, 1_000
 CACHE = "version string, digest binary, n_tokens long"
 
 
@@ -49,12 +53,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stored_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
-    """digest and n_tokens of one tokenizer version, each digest once."""
+    """digest and n_tokens of one tokenizer version, each digest once; other versions' folders are not read."""
     rows = spark.read.schema(CACHE).parquet(cache) if _exists(spark, cache) else spark.createDataFrame([], CACHE)
     return rows.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, cache: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", normalise=collapse_blanks) -> DataFrame:
+def compact(spark: SparkSession, cache: str, target: str) -> None:
+    """A copy of ``cache`` in the new folder ``target``, with each digest of a version once, in few files."""
+    rows = spark.read.schema(CACHE).parquet(cache).groupBy("version", "digest").agg(F.max("n_tokens").alias("n_tokens"))
+    rows.write.partitionBy("version").parquet(target)
+
+
+def count_tokens(docs: DataFrame, cache: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", normalise=collapse_blanks, few: int = FEW) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row of ``docs``; missing counts are appended to ``cache``."""
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
@@ -62,14 +72,26 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str | None = None, id_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2(normalise(F.col("text")).cast("binary"), 256)))
     narrow = materialise(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
-    missing = narrow.groupBy("digest").agg(F.min("doc_id").alias("first")).join(stored_counts(spark, cache, version), "digest", "left_anti")
-    chosen = materialise(missing.withColumnRenamed("digest", "missed"), "missing-digests")
-    misses = rows.join(chosen.hint("shuffle_hash"), (F.col("digest") == F.col("missed")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("digest", "text")
+    by_digest = materialise(narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-digests")
+    total = by_digest.agg(F.sum("n")).first()[0] or 0
+    common = by_digest.where(F.col("n") > total / COMMON).select("digest", F.struct("first").alias("only"))  # fewer than COMMON
+    chosen = materialise(by_digest.join(stored_counts(spark, cache, version), "digest", "left_anti").select(F.col("digest").alias("missed"), "first"), "missing-digests")
+    wanted = (F.col("digest") == F.col("missed")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    if chosen.count() <= few:
+        misses = rows.join(F.broadcast(chosen), wanted).select("digest", "text").dropDuplicates(["digest"])  # of repeated rows
+    else:
+        one = rows.join(F.broadcast(common), "digest", "left").where(F.col("only").isNull() | F.col("doc_id").eqNullSafe(F.col("only.first")))
+        misses = one.join(chosen.hint("shuffle_hash"), wanted)
 
     def encode(batch: pa.RecordBatch) -> list:
-        by_digest = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))  # repeated rows once
-        return [list(by_digest), word_counts(vocabulary).counts(list(by_digest.values()))]
-
-    new = map_batches(misses, "digest binary, n_tokens long", encode)
-    new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return narrow.join(stored_counts(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+        texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))  # repeated rows once
+        return [list(texts), word_counts(vocabulary).counts(list(texts.values()))]
+
+    new = map_batches(misses.select("digest", "text"), "digest binary, n_tokens long", encode)
+    new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(cache)
+    counts = stored_counts(spark, cache, version)
+    sent = materialise(common.select("digest").join(counts, "digest").withColumnRenamed("n_tokens", "sent"), "common-counts")
+    flagged = narrow.join(F.broadcast(sent), "digest", "left")
+    columns = ["doc_id", "n_bytes", "n_tokens"]
+    near = flagged.where(F.col("sent").isNotNull()).withColumnRenamed("sent", "n_tokens").select(*columns)
+    return near.unionByName(flagged.where(F.col("sent").isNull()).join(counts, "digest").select(*columns))

@@ -1,15 +1,19 @@
 """Main text of web pages: maximum-scoring subsequence over words and tags.
 
-A page is a sequence of words, which score positive, and tags, which score negative.  How much a
-tag (its name with its classes and id) counts against comes from labelled pages: those that mark
-their article, where a tag's occurrences inside and outside of it give log odds.  A linear scan
-finds the best contiguous region (Pasternack and Roth, 2009).  What is never content, or what the
-labelled pages show only outside of an article, takes no part, wherever it stands: its words neither
-score nor appear.
+A page is a sequence of words and tags, and a linear scan finds the contiguous region with the
+greatest sum of scores (Pasternack and Roth, 2009).  Scores come from labelled pages: those that
+mark their article.  A word scores by log odds of standing inside an article, given the element it
+stands in and the length of its run of text, from -1 to 1; what no labelled page shows scores 1.  A
+tag scores below zero, by the log odds of its name, classes and id outside of articles.
+
+Within the region an element is left out if labelled pages show its name, a class or its id outside
+of articles (nearly) only, or if fixed lists say so: names of notices, adverts and comments, which an
+article's mark covers too, so that labelled pages can't tell.  Scripts, styles, forms and their
+like are never content.
 
 Cases: a null or empty page, or one without content, has an empty text.  A page cut off within a
 tag, a reference or an element ends there.  An unclosed container ends where an article begins.
-Without labelled pages the fixed lists and a uniform tag score decide.  Repeated rows get equal
+Without labelled pages the fixed lists and uniform scores decide.  Repeated rows get equal
 results.  An empty table gives an empty result.  Columns other than the id, url and html are not
 read.
 """
@@ -31,10 +35,18 @@ from .common import map_batches
 #: Largest number of labelled pages that weights are learned from.
 MAX_LABELLED = 600
 SEED = 5
-#: Score of a word, least score of a tag, and what a unit of log odds adds to it.
-WORD_SCORE, TAG_SCORE, ODDS_SCORE = 1.0, -0.1, -30.0
+#: Score of a word that nothing is known of, of a tag, what a unit of log odds adds to that, and its end.
+WORD_SCORE, TAG_SCORE, ODDS_SCORE, LEAST_TAG = 1.0, -0.1, -2.0, -12.0
+#: How often the words in elements of a name must stand outside of articles for each inside.
+MANY = 20
+#: Words on either side that leave a run's score near that of one nothing is known of.
+FEW = 50
+#: Words from which on a run of text is of the next length.
+LENGTHS = (4, 30, 100)
 #: Elements whose text is never content.
-NEVER = frozenset("head title script style noscript template svg math iframe object canvas audio video form button select option textarea label input nav footer aside dialog menu".split())
+NEVER = frozenset("head title script style noscript template svg math iframe object canvas audio video form button select option textarea label input".split())
+#: Elements that commonly hold what is not content.
+ASIDE = frozenset("nav footer aside dialog menu".split())
 #: Elements that end a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -98,7 +110,7 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         key = tag_key(tag, attributes)
         if tag in ("article", "main"):  # no container of another kind holds an article
-            stack = [x for x in stack if not never(x[1])]
+            stack = [x for x in stack if x[0] not in NEVER and not any(map(listed, names_of(x[1])))]
         if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1][0] == tag:
             stack.pop()
         yield Token(key=key, block=tag in BLOCKS, within=within, article=article > 0)
@@ -111,21 +123,23 @@ def tokens(page: str) -> Iterator[Token]:
             at = end.start() if end else n
 
 
-def never(key: str) -> bool:
-    """Whether an element of this key never holds content, by the fixed lists.
+def names_of(key: str) -> list[str]:
+    """What an element may be known by: an element of the fixed list, and each whole class and id.
 
-    A class or id counts as a whole: ``has-sidebar`` names no sidebar.  Page, main part and article
-    are never judged by their names, but for an article that is a comment or reply.
+    ``has-sidebar`` names no sidebar.  Page and main part are never judged by their names, nor is
+    an article, but for one that is a comment or reply.
     """
     tag, _, names = key.partition(" ")
-    if tag in NEVER:
-        return True
-    if not names or tag in ("html", "body", "main"):
-        return False
-    whole = [x.split("=", 1)[-1] for x in names.split()]
+    if tag in ("html", "body", "main"):
+        return []
+    whole = [x.split("=", 1)[-1].lower() if tag == "article" else x.split("=", 1)[-1] for x in names.split()]
     if tag == "article":
-        return any(x.lower() in ("comment", "comments", "reply", "replies") for x in whole)
-    return any(map(_boilerplate, whole))
+        return [f".{x}" for x in whole if x in ("comment", "comments", "reply", "replies")]
+    return [tag] * (tag in ASIDE) + [f".{x}" for x in whole]
+
+
+def listed(name: str) -> bool:
+    return name in ASIDE or name == "header" or name[0] == "." and _boilerplate(name[1:])
 
 
 def _boilerplate(name: str) -> bool:
@@ -133,42 +147,60 @@ def _boilerplate(name: str) -> bool:
     return not BOILERPLATE.isdisjoint(parts) and (name.lower() in BOILERPLATE or parts <= BOILERPLATE | NEUTRAL)
 
 
+def run_of(within: tuple, text: str) -> tuple[str, int]:
+    """What the score of a run's words hangs on: the element it stands in and its length."""
+    n = len(text.split())
+    return (within[-1].split(" ", 1)[0] if within else "", sum(n >= x for x in LENGTHS))
+
+
 @dataclass
 class Weights:
-    """Scores of tags, and the keys that labelled pages show only outside of articles."""
+    """Scores of words and tags, and words that labelled pages show inside and outside of articles by names of elements."""
 
+    word: dict[tuple, float] = field(default_factory=dict)
     score: dict[str, float] = field(default_factory=dict)
-    outside: frozenset = frozenset()
+    inside: dict[str, int] = field(default_factory=dict)
+    outside: dict[str, int] = field(default_factory=dict)
 
     def of(self, key: str) -> float:
         return self.score.get(key.removeprefix("/"), TAG_SCORE)
 
+    def strange(self, name: str) -> bool:
+        """Whether an element of this name is no content."""
+        return listed(name) or self.outside.get(name, 0) > MANY * (1 + self.inside.get(name, 0))
+
     def dropped(self, within: tuple, article: bool) -> bool:
         for key in within:
-            if key in self.outside or never(key) or not article and key.split(" ", 1)[0] == "header" and "main" not in within:
+            tag = key.split(" ", 1)[0]
+            if tag in NEVER or any(map(self.strange, names_of(key))) or tag == "header" and not article and "main" not in within and self.strange(tag):
                 return True
         return False
 
 
 def learn(pages: list[str]) -> Weights:
-    """Log odds of each tag outside and inside the article of pages that mark one."""
-    inside: dict[str, int] = {}
-    outside: dict[str, int] = {}
-    held: dict[str, int] = {}
+    """Log odds of runs and tags inside and outside the article of pages that mark one, and words by names."""
+    tags: tuple[dict, dict] = ({}, {})
+    runs: tuple[dict, dict] = ({}, {})
+    named: tuple[dict, dict] = ({}, {})
+
+    def add(counts: tuple[dict, dict], key: object, article: bool, n: int) -> None:
+        counts[article][key] = counts[article].get(key, 0) + n
+
     for page in pages:
         for t in tokens(page):
-            if t.key and not t.key.startswith("/") and not any(map(never, t.within)):
-                counts = inside if t.article else outside
-                counts[t.key] = counts.get(t.key, 0) + 1
-                if t.key.split(" ", 1)[0] in ("html", "body", "article", "main", "div", "section"):
-                    held.setdefault(t.key, 0)
-            for key in t.within:
-                if t.article and key in held and t.text.strip():
-                    held[key] += 1
-    score = {k: TAG_SCORE + ODDS_SCORE * max(0.0, math.log((outside.get(k, 0) + 1) / (inside.get(k, 0) + 1))) for k in inside | outside}
-    # a named element that is common outside and neither stands in an article nor holds one
-    only = frozenset(k for k, n in outside.items() if n >= max(5, len(pages) // 50) and " " in k and not inside.get(k) and not held.get(k))
-    return Weights(score, only)
+            if any(k.split(" ", 1)[0] in NEVER for k in t.within):
+                continue
+            if t.key and not t.key.startswith("/"):
+                add(tags, t.key, t.article, 1)
+            n = len(t.text.split())
+            if n:
+                add(runs, run_of(t.within, t.text), t.article, n)
+                for name in {x for k in t.within for x in names_of(k)}:
+                    add(named, name, t.article, n)
+    odds = lambda counts, k, sign: math.log((counts[sign].get(k, 0) + 1) / (counts[1 - sign].get(k, 0) + 1))
+    score = {k: max(LEAST_TAG, TAG_SCORE + ODDS_SCORE * max(0.0, odds(tags, k, 0))) for k in tags[0] | tags[1]}
+    word = {k: max(-1.0, min(1.0, WORD_SCORE + math.log((runs[1].get(k, 0) + FEW) / (runs[0].get(k, 0) + FEW)))) for k in runs[0] | runs[1]}
+    return Weights(word, score, named[1], named[0])
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -196,9 +228,11 @@ def main_text(page: str | None, weights: Weights) -> str:
             known[place] = weights.dropped(*place)
         dropped.append(known[place])
     # what takes no part scores nothing, nor do the tags that open and close it; within an article
-    # the odds are for any tag, as labels are drawn by articles
+    # the odds are for any word and tag, as labels are drawn by articles
     scores = [
-        0.0 if out or t.key and weights.dropped((t.key.removeprefix("/"),), t.article) else (TAG_SCORE if t.article else weights.of(t.key)) if t.key else WORD_SCORE * len(t.text.split())
+        0.0 if out or t.key and weights.dropped((t.key.removeprefix("/"),), t.article) else
+        (TAG_SCORE if t.article else weights.of(t.key)) if t.key else
+        len(t.text.split()) * (WORD_SCORE if t.article else weights.word.get(run_of(t.within, t.text), WORD_SCORE))
         for t, out in zip(sequence, dropped)
     ]
     start, stop = best_region(scores)

@@ -196,9 +196,11 @@ class Landmarks:
     def of(ids: np.ndarray, sample: np.ndarray) -> Landmarks:
         rng = np.random.default_rng(SEED)
         x = sample.astype(np.float64)
+        big = max(1.0, float(np.abs(x).max(initial=0)))
         centres = x[rng.permutation(len(x))[: max(1, min(CENTRES, len(x) // 16))]]
         for _ in range(6):
-            nearest = Landmarks._nearest(x, centres)
+            # not through the linear algebra library, whose threads the driver does without
+            nearest = (np.einsum("ij,kj->ik", x / big, centres / big) - ((centres / big) ** 2).sum(1) / 2).argmax(1)
             sums = np.zeros_like(centres)
             np.add.at(sums, nearest, x)
             sizes = np.bincount(nearest, minlength=len(centres))[:, None]

@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import filter_batches, map_batches
 
-#: Bounds of the labelled sample: texts for each language, windows of words for each text, all windows.
+#: Bounds of the labelled sample: texts for each language, windows of words for each text, all windows, which the languages share evenly.
 TEXTS_PER_LANG, WINDOWS_PER_TEXT, MAX_WINDOWS = 300, 4, 20_000
 CHAIN, BLOCK_WORDS, SEED = 64, 65_536, 11
-TRAIN_CHAINS, EPOCHS, BATCH, RATE = 2_400, 6, 80, 0.15
+#: Training chains for each language, but four languages' at least.
+LANG_CHAINS, EPOCHS, BATCH, RATE = 600, 6, 80, 0.15
+#: Labelled rows that training doesn't see which the least score is calibrated on, their quantile, and its part that still counts.
+CALIBRATED, LOWEST, PART = 2_000, 0.01, 0.7
 LEXICON, LEXICON_MIN = 4_000, 3
 _BITS = {2: 16, 3: 16, 4: 17}
 _MULTIPLIER = {3: 0x9E3779B1, 4: 0x85EBCA6B}
@@ -149,7 +152,7 @@ class ChainField:
         known = sorted((x for x in count if count[x] >= LEXICON_MIN), key=lambda x: (-count[x], x))[:LEXICON]
         self.lexicon = np.unique(word_features(known).hashes) if known else self.lexicon
         self.lexical = np.zeros((len(self.lexicon) + 1, len(self.langs)), np.float32)
-        chains = [self._spliced(by_lang, rng) for _ in range(TRAIN_CHAINS)]
+        chains = [self._spliced(by_lang, rng) for _ in range(LANG_CHAINS * max(4, len(self.langs)))]
         tables = [*self.weights.values(), self.lexical, self.transition, self.start]
         squares = [np.full_like(x, 1e-4) for x in tables]
         self.training = True
@@ -258,8 +261,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("number"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(0.0)
+    texts = min(1.2 * TEXTS_PER_LANG, MAX_WINDOWS / WINDOWS_PER_TEXT / max(1, len(counts)))  # no language crowds another out
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, 1.2 * TEXTS_PER_LANG / n)).otherwise(share)
+        share = F.when(F.col("lang") == lang, min(1.0, texts / n)).otherwise(share)
     sample = rows.where(F.pmod("number", F.lit(1 << 20)) < share * (1 << 20))
     windows = map_batches(sample, "lang string, words string, number long", _windows)
     chosen = windows.orderBy("number", "lang", "words").limit(MAX_WINDOWS).collect()
@@ -285,6 +289,26 @@ def keep_identified(docs: DataFrame, field: ChainField, text_col: str = "text",
     return filter_batches(docs, lambda batch: [x != "und" and s >= least for x, s in shared.value.predict(batch.column(at).to_pylist())])
 
 
+def keep_lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a letter: all that can be said without a learned language."""
+    at = docs.columns.index(text_col)
+    return filter_batches(docs, lambda batch: [has_letter(x) for x in batch.column(at).to_pylist()])
+
+
+def least_score(docs: DataFrame, field: ChainField, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score from which on a text is in a learned language: part of the score that all but the lowest hundredth of known texts reach, 0 without any.
+
+    It comes from at most ``CALIBRATED`` rows that training never saw and that got their language.
+    """
+    known = docs.where(held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rate = min(1.0, 0.9 * CALIBRATED / max(1, known.count()))
+    sample = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + 1)), F.lit(1 << 20)) < rate * (1 << 20)).limit(CALIBRATED)
+    found = identify(sample.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), field).withColumnRenamed("doc_id", "id")
+    right = found.join(sample.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("known")).distinct(), "id").where("known = lang_pred")
+    scores = [r["score"] for r in right.select("score").collect()]
+    return PART * float(np.quantile(scores, LOWEST)) if scores else 0.0
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that training never sees."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

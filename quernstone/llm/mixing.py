@@ -94,7 +94,7 @@ def taken() -> Column:
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **plan) -> DataFrame:
     """The mix itself: rows of ``docs`` once for every whole repetition, and once cut to the part that remains.
 
-    A cut row keeps the words it takes, joined by blanks.  The written plan has a row a source, so
+    A cut row keeps its text up to the last word it takes, blanks and lines as they stand.  The written plan has a row a source, so
     it is joined to the texts where they are as long as its size allows.
     """
     rows = materialise(sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
@@ -107,6 +107,7 @@ def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = mixed.select("row", "size", F.explode(parts).alias("copy"), "taken")
     left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
     text = F.col(f"row.{text_col}")
-    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    # pieces of blanks with the word after them: the first ones make up the text as far as it is taken
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), left.cast("int")), "")
     cut = F.when(left >= F.col("size"), text).otherwise(first)
     return each.select(*[(cut if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

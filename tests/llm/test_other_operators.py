@@ -1,8 +1,8 @@
 """Pages, vectors, conversations, licences and the pipeline."""
 
-import hashlib
 import math
 import random
+import re
 import textwrap
 
 import numpy as np
@@ -30,6 +30,30 @@ def test_notices_within_labelled_articles_go():
     assert {extract.main_text(p, extract.learn(pages)) for p in pages} == {TEXT}
 
 
+def _plain(page):
+    """The page without names: every container a div, no class, id or role."""
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|aside|header|footer)\b", r"<\1div", page))
+
+
+def test_learned_scores_find_the_article_without_any_names(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").orderBy("page_id").limit(900).collect()]
+    weights = extract.learn(pages[:500])
+    right = [extract.main_text(p, weights) for p in pages[500:]]
+    assert all(right)
+    got = [extract.main_text(_plain(p), weights) for p in pages[500:]]
+    assert sum(a == b for a, b in zip(got, right)) >= 0.99 * len(right)
+    unlearned = [extract.main_text(_plain(p), extract.Weights()) for p in pages[500:]]
+    assert sum(a == b for a, b in zip(unlearned, right)) < 0.1 * len(right)
+
+
+def test_names_learned_from_labelled_pages_are_left_out():
+    labelled = "<body><article><div class='lead'><p>{}</p></div></article><div class='gizmo'><p>some {} words to leave out of it</p></div></body>"
+    weights = extract.learn([labelled.format("many words that are content here " * 4, i) for i in range(40)])
+    page = "<body><div><div class='lead'><p>A lead that is content</p></div><div class='gizmo'><p>not this</p></div><p>More of it</p></div></body>"
+    assert extract.main_text(page, weights) == "A lead that is content\n\nMore of it"
+    assert "not this" in extract.main_text(page, extract.Weights())
+
+
 def test_best_region_equals_brute_force():
     rng = random.Random(1)
     for _ in range(200):
@@ -138,20 +162,48 @@ def test_pipeline_keeps_clean_documents_and_one_copy(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     copies = docs.where("doc_id % 10 = 0").withColumn("doc_id", F.col("doc_id") + 10_000)
-    rows = docs.unionByName(copies).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(-5).cast("long"), "text": F.lit("123 456")}))
+    rng = random.Random(2)
+    noise = " ".join("".join(rng.choice("бвгджзклмнпрстфхцчш") for _ in range(6)) for _ in range(80))
+    odd = [(-5, "123 456"), (-6, noise), (-7, None), (-8, "")]
+    rows = docs.unionByName(copies)
+    for i, text in odd:
+        rows = rows.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(i).cast("long"), "text": F.lit(text).cast("string"), "lang": F.lit(None).cast("string")}))
+    rows = rows.withColumns({"_id": F.col("doc_id") * 3, "fp": F.lit("x"), "row": F.lit(1), "score": F.lit(0.5)})
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         new = materialise(stage(spark, rows, sf), name)
         seen[name] = (rows, new)
-        assert name == "packed_sequences" or new.columns == docs.columns
+        assert name == "packed_sequences" or new.columns == rows.columns and new.where("_id <> doc_id * 3 OR fp <> 'x' OR row <> 1").count() == 0
         rows = new
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
-    assert ids(seen["language_id"][0]) - ids(seen["language_id"][1]) == {-5}
+    assert ids(seen["language_id"][0]) - ids(seen["language_id"][1]) == {-5, -6, -7, -8}
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
     lost = ids(seen["quality_rules"][0]) - ids(seen["quality_rules"][1])
     assert len(lost & good) <= 0.05 * len(good)
     assert not any(i >= 10_000 for i in ids(seen["near_duplicates"][1]))
-    assert hashlib.sha256(b"").hexdigest() and rows.where("length > 1024 OR length < 1").count() == 0
+    before, after = seen["source_mix"]
+    texts = {r.doc_id: r.text for r in before.collect()}
+    mixed = after.select("doc_id", "text").collect()
+    assert all(texts[r.doc_id].startswith(r.text) for r in mixed) and len(mixed) > len(texts)
+    packed = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), (F.max(F.col("offset") + F.col("length"))).alias("end"))
+    assert rows.where("length > 1024 OR length < 1").count() == 0 and packed.where("n > 1024 OR n <> end").count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_near_duplicates_keep_a_row_of_every_component(spark):
+    from quernstone.llm import simhash
+
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    texts = [text() for _ in range(6)]
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[2], 3), (7, texts[3], 4), (7, texts[4], 5), (7, texts[4], 6), (8, texts[5], 7), (9, texts[5], 8), (None, texts[5], 9), (10, None, 10), (11, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long").withColumns({"_key": F.lit(1), "text_hash": F.lit(2), "no_id": F.lit(3)})
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == sorted([(-1, texts[0]), (-1, texts[1]), (-1, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (10, "")])
+    assert all((r._key, r.text_hash, r.no_id) == (1, 2, 3) for r in kept) and {r._id for r in kept} >= {1, 2, 3, 4, 7, 10}
 
 
 CANONICAL = {

@@ -77,6 +77,37 @@ def test_forest_rejects_junk_and_keeps_prose(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def test_paths_equal_a_walk_by_hand():
+    rng = np.random.default_rng(3)
+    rows, good = rng.normal(size=(300, 4)), np.arange(300) % 9 > 0
+    rows[~good, 1] += 4
+    forest = quality.IsolationForest(rows, good, trees=20)
+    scaled = forest.scaled(rows)
+    for i in range(0, 300, 7):
+        total = 0.0
+        for feature, cut, left, right, path in forest.trees:
+            at = 0
+            while left[at] != at or right[at] != at:
+                at = left[at] if scaled[i, feature[at]] < cut[at] else right[at]
+            total += path[at]
+        assert abs(forest.score(rows[i : i + 1])[0] - 2 ** (-total / 20 / quality._mean_path(forest.size))) < 1e-12
+
+
+def test_threshold_holds_on_rows_never_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality IN (0, 1)")
+    seen = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(2)) == 0
+    rows = quality.assess(docs, labels.where(seen)).join(labels.where(~seen), "doc_id").where("NOT base_failed").select("quality", "kept").collect()
+    bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert sum(bad) < 0.05 * len(bad) and sum(good) > 0.995 * len(good)
+
+
+def test_few_or_one_sided_labels(spark):
+    docs = table(spark, ["word " + " ".join(f"w{i}{j}" for j in range(20)) for i in range(8)])
+    kept = lambda rows: [r.kept for r in quality.assess(docs, spark.createDataFrame(rows, "doc_id long, quality int")).collect()]
+    assert all(kept([(0, 1), (1, 1)])) and all(kept([])) and len(kept([(0, 1), (1, 0), (2, 1)])) == 8
+
+
 @pytest.fixture(scope="module")
 def languages():
     rng = random.Random(3)
@@ -164,6 +195,20 @@ def library(name):
     return tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_token_counts_of_common_texts_and_a_half_warm_cache(spark, few):
+    tok, cache = library("word_bpe_49k.json"), new_path(spark, "cache")
+    texts = ["one hot text"] * 900 + [f"text number {i}" for i in range(1100)]
+    half = tokencount.count_tokens(table(spark, texts[:1500]), cache, few=few)
+    assert half.count() == 1500 and spark.read.schema(tokencount.CACHE).parquet(cache).count() == 601
+    got = tokencount.count_tokens(table(spark, texts), cache, few=few)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(tok.encode(t).ids) for i, t in enumerate(texts)}
+    assert spark.read.schema(tokencount.CACHE).parquet(cache).count() == 1101  # only misses were encoded
+    target = new_path(spark, "compacted")
+    tokencount.compact(spark, cache, target)
+    assert spark.read.schema(tokencount.CACHE).parquet(target).count() == 1101
+
+
 def test_token_counts_and_cache(spark):
     tok, cache = library("word_bpe_49k.json"), new_path(spark, "cache")
     texts = [*ODD, "A  b\n\tc", "A b c", "İstanbul ΣΑΣ don't I'LL 12 ½ Ünï", "<|startoftext|>ab <|ENDOFTEXT|>"]
@@ -215,21 +260,45 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
-def test_pattern_program_meets_demand():
+def in_worker(spark, function, *args):
+    """There the linear algebra has one thread."""
+    return spark.sparkContext.parallelize([args], 1).map(lambda a: function(*a)).first()
+
+
+def solved(demand):
+    program = packing.PatternProgram(demand).solve()
+    return program.gap, float(program.cost[program.basis] @ program.x), program.rounded()
+
+
+def test_pattern_program_meets_demand(spark):
     rng = np.random.default_rng(5)
-    for n in (1, 40, 3000):
+    for n in (0, 1, 40, 3000):
         sizes, counts = np.unique(rng.integers(1, 1024, n), return_counts=True)
         demand = dict(zip(sizes.tolist(), counts.tolist()))
-        uses = packing.PatternProgram(demand).solve(max_pivots=200).rounded()
         met = {}
-        for pattern, k in uses:
+        for pattern, k in in_worker(spark, solved, demand)[2]:
             assert sum(x * m for x, m in pattern.items()) <= 1024 and k > 0
             for x, m in pattern.items():
                 met[x] = met.get(x, 0) + m * k
         assert met == demand
     # a program small enough to see: 600 + 424 and 512 + 512 waste nothing
-    program = packing.PatternProgram({600: 5, 424: 5, 512: 4}).solve()
-    assert abs(float(program.cost @ program.x) - 7 * 1024) < 1e-6
+    assert abs(in_worker(spark, solved, {600: 5, 424: 5, 512: 4})[1] - 7 * 1024) < 1e-6
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_program_packs_better_than_best_fit_alone(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    demand = {r["length"]: r["count"] for r in packing.pieces(docs).where("length < 1024").groupBy("length").count().collect()}
+    gap, _, uses = in_worker(spark, solved, demand)
+    assert gap <= 0.001
+    assert packing.cost_of(uses) < packing.cost_of(packing.best_fit(demand))
+
+
+def test_no_length_is_ranked_in_one_task(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text")).repartition(8)
+    rows = packing.pack(docs).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 4000 == len({r.doc_id for r in rows})
+    assert "Sort [doc_id" not in packing.pack(docs)._jdf.queryExecution().executedPlan().toString()
 
 
 def brute_print(text):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import parse, qualify, quality, sampling
+from ..schemas import RUNNER_CODES
 from ..operators.select import observation_keys, segment_counters, select_strata
 from ..sources import sinks
 
@@ -23,6 +24,8 @@ class Result:
     segments: DataFrame
     termination: str
     error: str | None = None
+    #: What the adapter says of its run: the names of ``MISMATCHES``.
+    stated: dict = field(default_factory=dict)
 
 
 def collect(parsed: DataFrame, quotas: dict[str, int], order: Column, max_per_author: int = 2) -> Result:
@@ -42,14 +45,36 @@ def collect(parsed: DataFrame, quotas: dict[str, int], order: Column, max_per_au
     return Result(items, rejections, segments, "target_reached" if full == set(quotas) else "source_exhausted")
 
 
-def isolated(run: Callable[[], Result], empty: Callable[[], Result]) -> Result:
-    """A source that fails leaves an empty, failed result and stops no other; interrupts pass through."""
+def isolated(run: Callable[[], Result], empty: Callable[[], Result], bound: dict | None = None) -> Result:
+    """A source that fails leaves an empty, failed result and stops no other; interrupts pass through.
+
+    So does one whose result isn't a result, borrows one of the runner's own codes, or differs from what
+    was asked for: ``bound`` maps names of ``MISMATCHES`` to the values it must state.
+    """
     try:
-        return run()
+        result = run()
+        code = mismatch(result, bound or {})
     except Exception:
-        failed = empty()
-        failed.termination, failed.error = "schema_failure", "runner_adapter_exception"
-        return failed
+        code = "runner_adapter_exception"
+    if code is None:
+        return result
+    failed = empty()
+    failed.termination, failed.error = "prerequisite_failed", code
+    return failed
+
+
+#: What a result states of its run, with the code for another value, in the order of the checks.
+MISMATCHES = {
+    "source": "runner_source_mismatch", "adapter_version": "runner_adapter_version_mismatch", "run_id": "runner_run_id_mismatch", "manifest_version": "runner_manifest_version_mismatch", "target": "runner_target_mismatch",
+    "manifest_hash": "runner_manifest_hash_mismatch", "compliance_hash": "runner_compliance_hash_mismatch",
+}
+
+
+def mismatch(result: object, bound: dict) -> str | None:
+    """The code of the first thing by which a result isn't the one that was asked for."""
+    if not isinstance(result, Result) or result.error in RUNNER_CODES:
+        return "runner_invalid_adapter_result"
+    return next((code for name, code in MISMATCHES.items() if name in bound and result.stated.get(name) != bound[name]), None)
 
 
 def publish(result: Result, root: str, run_id: str, quotas: dict[str, int], url_ok: Column, seed: int, secrets: tuple[str, ...] = ()) -> dict:

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from datetime import datetime
 
 from ..functions.ids import content_sha256
+from ..schemas import EVENT_CATEGORIES, EVENT_KEYS, LIMIT_NUMBERS, LIMIT_RESOURCES
 
 
 def _broken(rules: Iterable[tuple[bool, str]]) -> list[str]:
@@ -96,38 +97,17 @@ def feasibility_errors(d: dict) -> list[str]:
     return _broken(rules)
 
 
-def receipt_errors(receipt: dict, required: int, max_requests: int, max_attempts: int, max_bytes: int) -> list[str]:
-    """A receipt's stored verdict against one recomputed from its counts; budgets and page arithmetic."""
-    rules = []
-    for name, s in receipt["strata"].items():
-        rejected, processed = sum(s["rejection_reason_counts"].values()), s["processed"]
-        passed = s["accepted"] >= required
-        rules += [(processed != s["accepted"] + rejected or processed > s["fetched"], f"{name}: counts don't add up"), (bool(s["capacity_pass"]) != passed, f"{name}: stored verdict differs")]
-    t, p = receipt["transport"], receipt.get("pagination", {"pages": 0, "unique_pages": 0, "repeated_pages": 0})
-    rules += [
-        (not t["retries"] <= t["attempts"] <= t["requests"] + t["retries"], "attempts contradict requests and retries"), (t["requests"] > max_requests or t["attempts"] > max_attempts or t["bytes"] > max_bytes, "a budget is exceeded"),
-        (p["pages"] != p["unique_pages"] + p["repeated_pages"], "pages don't add up"), (receipt["retained_items"] != 0, "a receipt retains nothing"),
-        (receipt["capacity_pass"] != all(s["accepted"] >= required for s in receipt["strata"].values()), "overall verdict differs"),
-    ]
-    return _broken(rules)
-
-
 def reference_errors(row: dict, keys: set[str]) -> list[str]:
     """A report row holds exactly the safe reference keys."""
     return _broken([(not row, "empty"), (set(row) != keys, "keys differ")])
 
 
-#: What a transport event may say.
-EVENT_CATEGORIES = ("success", "retryable_http", "rate_limit", "transport_error", "schema_error", "fatal_http")
-
-
 def safe_event(event: dict) -> dict:
-    """An event's allow-listed part; unknown categories become ``unknown``."""
-    code = event.get("status_code")
-    return {
-        "sequence": event.get("sequence"), "category": event["category"] if event.get("category") in EVENT_CATEGORIES else "unknown",
-        "status_code": code if isinstance(code, int) and not isinstance(code, bool) and 100 <= code <= 599 else None, "retryable": event.get("retryable") is True,
-    }
+    """An event's allow-listed part; categories and resources out of the lists become ``unknown``."""
+    limit = event.get("rate_limit")
+    known = lambda x, values: x if x in values else "unknown"
+    safe = {k: limit.get(k) for k in LIMIT_NUMBERS} | {"resource": known(limit.get("resource"), LIMIT_RESOURCES)} if isinstance(limit, dict) else None
+    return {k: event.get(k) for k in EVENT_KEYS} | {"category": known(event.get("category"), EVENT_CATEGORIES), "rate_limit": safe}
 
 
 def preflight(status_code: int | None, body_bytes: int, payload: dict | None, canonical_codes: list[int], max_bytes: int, sample: int, required: dict) -> dict:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Sources, item types and their bounds.
-ITEM_TYPES = ("issue", "question", "review", "notice", "comment", "post", "story")
+ITEM_TYPES = ("submission", "issue", "review", "question", "top_level_comment", "story", "notice")
 MIN_TEXT, MAX_TEXT = 40, 20_000
 UNKNOWN_AUTHOR = "__unknown__"
 #: Metadata keys that may be kept, by source.
@@ -20,12 +20,24 @@ ALLOWED_METADATA = {
 IDENTITY_KEYS = (
     "account_id", "author", "author_display_name", "author_id", "author_username", "by", "display_name", "email", "profile_url", "steamid", "user", "user_id", "user_name", "username",
 )
-#: How a collection can end, what it then counts as, and money signals.
+#: How a collection can end, and the codes of a runner that got no result it can use.
 TERMINATIONS = (
-    "target_reached", "source_exhausted", "request_budget_exhausted", "attempt_budget_exhausted", "deadline_exceeded", "rate_limited", "quota_reserve_reached", "page_limit_reached", "transport_failure", "schema_failure", "prerequisite_failure", "privacy_failure",
+    "target_reached", "request_budget_exhausted", "page_budget_exhausted", "repository_quota_unreachable", "source_exhausted", "prerequisite_failed", "transport_error", "rate_limit_exhausted", "smoke_deadline_exhausted", "backoff_budget_exhausted", "quota_budget_exhausted", "privacy_failure",
 )
-MONEY_SIGNALS = ("existing_spend", "budget", "purchase_intent", "price_complaint", "workaround_cost", "time_cost", "hiring", "switching_cost")
-EVIDENCE_KINDS = ("problem", "loss", "money", "alternative", "solution", "channel", "counter", "gap", "link")
+RUNNER_CODES = (
+    "runner_adapter_exception", "runner_invalid_adapter_result", "runner_source_mismatch", "runner_adapter_version_mismatch", "runner_run_id_mismatch", "runner_manifest_version_mismatch", "runner_target_mismatch", "runner_manifest_hash_mismatch", "runner_compliance_hash_mismatch",
+)
+#: What a transport event may say, and the resources a rate limit may name.
+EVENT_CATEGORIES = ("http_error", "timeout", "connection_reset", "rate_limit")
+EVENT_KEYS = ("sequence", "category", "attempt", "status_code", "retryable", "rate_limit")
+LIMIT_NUMBERS = ("limit", "remaining", "reset_at", "retry_after_seconds")
+LIMIT_RESOURCES = ("core", "search", "graphql", "integration_manifest", "source_import", "code_scanning", "actions_runner_registration", "scim")
+#: Kinds of money signals in labels, kinds of evidence, and those that show spending.
+MONEY_SIGNALS = ("purchase", "subscription", "outsourcing", "labor_cost", "loss", "willingness_to_pay", "price_complaint", "replacement_search")
+EVIDENCE_KINDS = ("problem", "loss", "money", "willingness_to_pay", "alternative", "customer_channel", "solution_gap", "counter", "blocker")
+SPENDING_KINDS = ("money", "willingness_to_pay")
+#: The columns of a report that may name an accepted record.
+SAFE_REFERENCE = ("source_item_id", "source_url", "published_at", "text_fingerprint")
 
 ENGAGEMENT = "struct<score:bigint,comments:bigint,likes:bigint,views:bigint,answers:bigint,helpful:bigint,votes:bigint>"
 #: A normalised record; source_metadata stays JSON until its keys have been checked.

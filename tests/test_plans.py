@@ -25,13 +25,10 @@ def test_manifests():
     assert contracts.frozen_errors({"a": 1}, {"a": 1, "b": 2}) == ["b: frozen value differs"]
 
 
-def test_receipts_are_recomputed():
-    r = {"strata": {"s": {"fetched": 50, "processed": 45, "accepted": 40, "rejection_reason_counts": {"short_text": 5}, "capacity_pass": True}}, "transport": {"requests": 2, "attempts": 3, "retries": 1, "bytes": 10}, "retained_items": 0, "capacity_pass": True}
-    check = lambda x: contracts.receipt_errors(x, 38, 4, 8, 100)
-    assert check(r) == []
-    r["strata"]["s"]["accepted"] = 30
-    assert check(r) == ["overall verdict differs", "s: counts don't add up", "s: stored verdict differs"]
-    assert contracts.safe_event({"category": "odd", "status_code": True, "token": "x"}) == {"sequence": None, "category": "unknown", "status_code": None, "retryable": False}
+def test_events_and_references():
+    event = {"sequence": 1, "category": "odd", "attempt": 1, "status_code": 503, "retryable": True, "rate_limit": {"limit": 5, "resource": "x", "token": "t"}, "token": "x"}
+    assert contracts.safe_event(event) == {"sequence": 1, "category": "unknown", "attempt": 1, "status_code": 503, "retryable": True, "rate_limit": {"limit": 5, "remaining": None, "reset_at": None, "retry_after_seconds": None, "resource": "unknown"}}
+    assert contracts.safe_event({"category": "timeout"})["category"] == "timeout"
     assert contracts.reference_errors({"a": 1}, {"a"}) == [] and contracts.reference_errors({}, {"a"})
 
 
@@ -80,3 +77,13 @@ def test_run_end_to_end(spark, tmp_path):
         raise RuntimeError
 
     assert collect.isolated(fails, lambda: result).error == "runner_adapter_exception"
+    empty = lambda: collect.Result(result.items, result.rejections, result.segments, "x")
+    stated = {"source": "github", "adapter_version": "1", "run_id": "run", "manifest_version": "m", "target": 10, "manifest_hash": "h", "compliance_hash": None}
+    good = empty()
+    good.stated = stated
+    assert collect.isolated(lambda: good, empty, stated) is good
+    for name, code in collect.MISMATCHES.items():
+        assert collect.isolated(lambda: good, empty, stated | {name: "other"}).error == code  # noqa: B023
+    borrowed = empty()
+    borrowed.error = "runner_source_mismatch"
+    assert {collect.isolated(lambda: x, empty).error for x in (None, borrowed)} == {"runner_invalid_adapter_result"}  # noqa: B023

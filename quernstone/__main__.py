@@ -54,7 +54,7 @@ def analyse(a: argparse.Namespace) -> int:
     result.items = result.items.drop("_newest")
     host, path = HOSTS[a.source]
     ok = values.canonical_url(F.col("source_url"), F.lit(host) if host else F.lower(F.try_parse_url("source_url", F.lit("HOST"))), F.lit(path))
-    report = collect.publish(result, a.root, a.run_id, quotas, ok, a.seed)
+    report = collect.publish(result, a.root, a.run_id, quotas, ok, a.seed, secrets=(os.environ[a.secret_env],))
     print(json.dumps(report))
     return 0 if report["qualified"] else 2 if result.termination != "target_reached" else 4
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import tables
 from ..functions.ids import score
-from ..schemas import EVIDENCE_KINDS
+from ..schemas import EVIDENCE_KINDS, SPENDING_KINDS
 from .quality import violations
 
 #: Rows and values of a chunk of vectors, rows of one product, pairs decided at once.
@@ -24,20 +24,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the non-root nodes of edges (a, b): the least node each is connected to.
 
     Each round hooks every node to the least neighbour of its root's and halves paths; a written
-    table ends each round.
+    table ends each round, and the one before is deleted.  Rounds end when the count and a sum of
+    hashes of the links stay as they are.
     """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    while True:
-        links = tables.written(links, "links")
+
+    def sign(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+    links = tables.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = sign(links)
+    while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         new = tables.written(small.select("a", F.col("low").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("low").alias("b"))).where("a <> b").distinct(), "links")
-        if not new.exceptAll(links).take(1) and not links.exceptAll(new).take(1):
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        links = new
+        tables.drop(links)
+        links, after = new, sign(new)
+        if after == before:
+            break
+        before = after
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def independence_groups(evidence: DataFrame, id_col: str, keys: dict[str, Column], bursts: tuple[str, str, str] | None = None) -> DataFrame:
@@ -47,8 +55,10 @@ def independence_groups(evidence: DataFrame, id_col: str, keys: dict[str, Column
     ``bursts`` (community, time, gap) links rows of a community that follow within the gap.
     """
     links = []
-    for column in keys.values():
-        rows = evidence.select(F.col(id_col).alias("a"), column.alias("k")).where(F.col("k").isNotNull())
+    # written once: keys may be costly, and each is read twice
+    narrow = tables.written(evidence.select(F.col(id_col).alias("a"), *[column.alias(f"k{n}") for n, column in enumerate(keys.values())]), "evidence-keys")
+    for n in range(len(keys)):
+        rows = narrow.select("a", F.col(f"k{n}").alias("k")).where("k IS NOT NULL")
         links.append(rows.join(rows.groupBy("k").agg(F.min("a").alias("b")), "k").select("a", "b"))
     if bursts:
         community, ts, gap = bursts
@@ -80,7 +90,6 @@ def similarity_links(vectors: DataFrame, id_col: str, vector_col: str, least: fl
     sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(x, lambda e: e != 0)
     rows = vectors.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), x.alias("v"))
     parts = max(1, -(-rows.count() // chunk))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     packed = rows.repartition(parts, F.xxhash64("id")).mapInArrow(_packed(chunk, least, spanning, value), f"width int, ids array<{id_type}>, matrix binary, roots binary")
     chunks = tables.written(packed.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     # every chunk meets itself and, going round, half of the others of its width: one row a pair
@@ -91,7 +100,6 @@ def similarity_links(vectors: DataFrame, id_col: str, vector_col: str, least: fl
     pairs = ahead.join(places.select("width", "at", F.col("chunk").alias("right")), ["width", "at"]).select("left", "right")
     right = chunks.select(F.col("chunk").alias("right"), F.col("ids").alias("ids_b"), F.col("matrix").alias("matrix_b"), F.col("roots").alias("roots_b"))
     left = chunks.select(F.col("chunk").alias("left"), "width", F.col("ids").alias("ids_a"), F.col("matrix").alias("matrix_a"), F.col("roots").alias("roots_a"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # matrices, not rows
     met = pairs.join(right, "right").join(left, "left").select("width", (F.col("left") == F.col("right")).alias("own"), "ids_a", "matrix_a", "roots_a", "ids_b", "matrix_b", "roots_b")
     found = met.mapInArrow(_linked(least, spanning, value), f"a {id_type}, b {id_type}, cosine double")
     return found.select("a", "b").distinct() if spanning else found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
@@ -202,14 +210,23 @@ def _pairs(ids: pa.Array, a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> p
     return found.filter(pc.not_equal(first, second))  # rows of one id have no link
 
 
-def evidence_gate(evidence: DataFrame, by: str, as_of: Column) -> DataFrame:
-    """Whether each cluster's evidence suffices: authors, groups, recent rows, and kinds."""
+def evidence_gate(evidence: DataFrame, assessments: DataFrame, by: str, as_of: Column) -> DataFrame:
+    """Whether each cluster's evidence suffices: authors, groups, recent rows, kinds, links, and the assessment of what speaks against it.
+
+    ``assessments`` has the cluster and ``counter_status``; a cluster without one is not assessed, and
+    so not backed.  Links are the distinct sources of what supports the cluster.
+    """
     recent = (F.col("published_at") > as_of - F.expr("INTERVAL 90 DAYS")) & (F.col("published_at") <= as_of)
-    kinds = {f"n_{k}": F.count_if(F.col("kind") == k) for k in ("loss", "money", "link")}
     n = evidence.groupBy(by).agg(
-        F.count_distinct("author_hash").alias("n_authors"), F.count_distinct("evidence_group_id").alias("n_groups"), F.count_if(recent).alias("n_recent"), *[c.alias(k) for k, c in kinds.items()], F.count_if((F.col("kind") == "counter") & (F.col("confidence") >= 0.8)).alias("n_critical")
-    )
-    return n.withColumn("evidence_backed", (F.col("n_authors") >= 5) & (F.col("n_groups") >= 3) & (F.col("n_recent") >= 10) & (F.col("n_loss") >= 2) & (F.col("n_money") >= 2) & (F.col("n_link") >= 3) & (F.col("n_critical") == 0))
+        F.count_distinct("author_hash").alias("n_authors"), F.count_distinct("evidence_group_id").alias("n_groups"), F.count_if(recent).alias("n_recent"), F.count_if(F.col("kind") == "loss").alias("n_loss"),
+        F.count_if(F.col("kind").isin(*SPENDING_KINDS)).alias("n_money"), F.count_distinct(F.when(F.col("kind") != "counter", F.col("source_url"))).alias("n_links"),
+    )
+    n = n.join(assessments.select(by, "counter_status"), by, "left").withColumn("counter_status", F.coalesce("counter_status", F.lit("NOT_ASSESSED")))
+    enough = [(F.col(c) >= least) for c, least in (("n_authors", 5), ("n_groups", 3), ("n_recent", 10), ("n_loss", 2), ("n_money", 2), ("n_links", 3))]
+    backed = F.col("counter_status") == "NONE_CRITICAL"
+    for x in enough:
+        backed = backed & x
+    return n.withColumn("evidence_backed", backed)
 
 
 def actionability_gate(cards: DataFrame) -> DataFrame:
@@ -251,10 +268,15 @@ def audit_metrics(audited: DataFrame) -> DataFrame:
     return n.withColumn("passed", F.coalesce((F.col("positive_precision") >= 0.8) & (F.col("boundary_error") <= 0.3) & (F.col("merge_error") <= 0.1) & (F.col("median_minutes") <= 5), F.lit(False)))
 
 
+def _of_kinds(*kinds: str) -> Column:
+    return F.size(F.filter("evidence", lambda e: e["kind"].isin(*kinds)))
+
+
 def card_errors(cards: DataFrame) -> DataFrame:
     """Cards (card_id, status, evidence array of id and kind with bucket) with their broken rules."""
     ids = F.transform("evidence", lambda e: e["evidence_id"])
     return cards.withColumn("errors", violations(
         (F.size(F.array_distinct(ids)) != F.size(ids), "evidence ids repeat"), (F.exists("evidence", lambda e: ~e["kind"].isin(*EVIDENCE_KINDS)), "unknown kind"), (F.exists("evidence", lambda e: e["kind"] != e["bucket"]), "kind differs from its bucket"),
-        ((F.col("status") == "EVIDENCE_BACKED") & (F.size(F.filter("evidence", lambda e: e["kind"] == "link")) < 3), "too few links"),
+        ((F.col("status") == "EVIDENCE_BACKED") & (F.size(F.filter("evidence", lambda e: e["kind"] != "counter")) < 3), "too few links"),
+        ((F.col("status") == "EVIDENCE_BACKED") & (_of_kinds("loss") < 2), "too few losses"), ((F.col("status") == "EVIDENCE_BACKED") & (_of_kinds(*SPENDING_KINDS) < 2), "too little spending"),
     ))

@@ -109,6 +109,11 @@ def one_string(x: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
+def buyer_key(field: Column) -> Column:
+    """One key for a field's distinct buyers in order."""
+    return F.array_join(F.array_sort(F.array_distinct(json_strings(field))), "\0")
+
+
 def parse_notices(payloads: DataFrame, stratum: str, run: Run) -> DataFrame:
     field = lambda name: F.col(f"`{name}`")
     rows = payloads.withColumns({
@@ -124,7 +129,7 @@ def parse_notices(payloads: DataFrame, stratum: str, run: Run) -> DataFrame:
     metadata = F.struct((F.col("_t.count") + F.col("_d.count")).alias("redacted_contact_count"), F.lit("ted-contact-v1").alias("redaction_policy_version"), F.lit("ted-language-v1").alias("language_selection_version"))
     return _record(
         rows, "ted", run, item_id=F.col("_notice"), item_type="notice", url=F.concat(F.lit("https://ted.europa.eu/en/notice/-/detail/"), F.col("_publication")), community=F.lit(stratum), thread=F.col("_procedure"),
-        author=F.concat(F.lit("ted-buyers-v1\0"), F.array_join("_buyers", "\0")), title=F.col("_title"), published=F.col("_published"), updated=F.lit(None).cast("string"), language=F.lit(None), counts=engagement(), metadata=F.to_json(metadata),
+        author=F.concat(F.lit("ted-buyers-v1\0"), buyer_key(field("buyer-identifier"))), title=F.col("_title"), published=F.col("_published"), updated=F.lit(None).cast("string"), language=F.lit(None), counts=engagement(), metadata=F.to_json(metadata),
     )
 
 

@@ -89,12 +89,9 @@ def pagination(pages: DataFrame, by: str, page: str = "page", signature: str = "
     )
 
 
-def run_budget(log: DataFrame, order: str, max_requests: int, max_attempts: int, max_bytes: int) -> DataFrame:
-    """A request log with what is spent so far and the first budget that is then exceeded.
-
-    One log is one collection run and bounded by its request budget; its window has no partition.
-    """
-    so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def run_budget(log: DataFrame, order: str, max_requests: int, max_attempts: int, max_bytes: int, run: str = "run_id") -> DataFrame:
+    """A request log with what each run has spent so far and the first budget that is then exceeded."""
+    so_far = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = log.withColumns({"requests_used": F.count(F.lit(1)).over(so_far), "attempts_used": F.sum("attempts").over(so_far), "bytes_used": F.sum("bytes").over(so_far)})
     return rows.withColumn("exceeded", F.when(F.col("requests_used") > max_requests, "request_budget_exhausted").when(F.col("attempts_used") > max_attempts, "attempt_budget_exhausted").when(F.col("bytes_used") > max_bytes, "byte_budget_exhausted"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..schemas import ALLOWED_METADATA, ITEM_TYPES, MAX_TEXT, MIN_TEXT
+from ..schemas import ALLOWED_METADATA, ITEM_TYPES, MAX_TEXT, MIN_TEXT, MONEY_SIGNALS
 
 
 def violations(*rules: tuple[Column, str | Column]) -> Column:
@@ -52,15 +52,15 @@ def privacy_violations(rows: DataFrame, secrets: tuple[str, ...] = ()) -> DataFr
     return rows.withColumn("found", found).where(F.size("found") > 0).drop("_json", "_paths")
 
 
-#: What a reviewer's free text must not hold.
-HANDLES = r"(?i)[\w.+-]+@[\w-]+\.[\w.-]+|(?<!\w)@[a-z0-9][a-z0-9_-]+|github\.com/[a-z0-9_-]+/?(?:\s|$)"
+#: What a reviewer's free text must not hold: addresses, handles, profile pages.
+HANDLES = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|(?<!\w)@[a-z0-9_-]+|https?://github\.com/[a-z0-9_.-]+(?=/|\s|$)"
 
 
 def submission_errors() -> Column:
     """Broken rules of a blind submission."""
     return violations(
         (F.coalesce("assignment_id", F.lit("")) == "", "assignment_id: required"), (F.coalesce("reviewer_id", F.lit("")) == "", "reviewer_id: required"), (~F.coalesce("reviewer_independence_asserted", F.lit(False)), "independence not asserted"),
-        (F.col("money_signal") != F.col("money_signal_type").isNotNull(), "money_signal_type must stand with money_signal"), (F.length(F.coalesce("label_reason", F.lit(""))) < 20, "label_reason: too short"),
+        (F.col("money_signal") != F.col("money_signal_type").isNotNull(), "money_signal_type must stand with money_signal"), (F.coalesce(~F.col("money_signal_type").isin(*MONEY_SIGNALS), F.lit(False)), "money_signal_type: unknown"), (F.length(F.coalesce("label_reason", F.lit(""))) < 20, "label_reason: too short"),
         (F.coalesce(F.col("label_reason").rlike(HANDLES), F.lit(False)), "label_reason: names a person"), (F.col("labeled_at").isNull(), "labeled_at: required"),
     )
 

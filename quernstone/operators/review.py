@@ -28,6 +28,12 @@ def coverage(submissions: DataFrame, expected: DataFrame, key: str = "assignment
     return missing.unionByName(strange).unionByName(twice)
 
 
+def rater_pairs(first: DataFrame, second: DataFrame, key: str = "assignment_id", reviewer: str = "reviewer_id") -> DataFrame:
+    """The two reviewers of each key that two different ones have judged."""
+    a = first.select(key, F.col(reviewer).alias("first_reviewer"))
+    return a.join(second.select(key, F.col(reviewer).alias("second_reviewer")), key).where("first_reviewer <> second_reviewer")
+
+
 def ingest(primary: DataFrame, secondary: DataFrame, mapping: DataFrame, guide_version: str) -> DataFrame:
     """Canonical labels of both rounds; raises on an invalid, missing or dependent submission."""
     both = primary.withColumn("review_round", F.lit("primary")).unionByName(secondary.withColumn("review_round", F.lit("secondary")))
@@ -37,7 +43,7 @@ def ingest(primary: DataFrame, secondary: DataFrame, mapping: DataFrame, guide_v
     for rows, expected in ((primary, mapping), (secondary, mapping.where("requires_second_review"))):
         if problem := coverage(rows, expected).take(1):
             raise ValueError(f"{problem[0]['problem']} submission {problem[0]['assignment_id']}")
-    if primary.select("assignment_id", "reviewer_id").join(secondary.select("assignment_id", "reviewer_id"), ["assignment_id", "reviewer_id"]).take(1):
+    if secondary.join(rater_pairs(primary, secondary), "assignment_id", "left_anti").take(1):
         raise ValueError("a second review must be another reviewer's")
     return both.join(mapping, "assignment_id").select(
         F.sha2(F.concat_ws("\0", "assignment_id", "reviewer_id", "review_round"), 256).alias("label_id"), "document_id", "source", "reviewer_id", "assignment_split", "review_round", "problem_signal", "money_signal",

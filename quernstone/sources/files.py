@@ -60,10 +60,15 @@ def payloads(page_rows: DataFrame, source: str) -> DataFrame:
 
 
 def notice_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of notices, whose fields keep their JSON because their shape varies."""
+    """Pages of notices, whose fields keep their JSON because their shape varies.
+
+    A page that the service cut short by its time limit fails the read: a run must not take it for
+    a whole one.
+    """
     wrapper = "notices array<string>, totalNoticeCount bigint, timedOut boolean, iterationNextToken string"
     rows = spark.read.text(path).select(F.from_json("value", wrapper, {"mode": "FAILFAST"}).alias("page"))
-    return rows.select("page.*").where(~F.coalesce("timedOut", F.lit(False)))
+    late = F.when(F.coalesce("timedOut", F.lit(False)), F.raise_error(F.lit("a page of notices has timed out")).cast("boolean")).otherwise(F.lit(True))
+    return rows.select("page.*").where(late)
 
 
 def notices(page_rows: DataFrame) -> DataFrame:

@@ -19,21 +19,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def write_text(spark: SparkSession, path: str, content: str) -> None:
+def write_text(spark: SparkSession, path: str, content: str, private: bool = False) -> None:
     """A small file, whole or not at all: written beside its place, then renamed over it."""
     staged, fs = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(staged)
     out.write(bytearray(content.encode()))
     out.close()
+    jvm = spark.sparkContext._jvm
     target, _ = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"could not write {path}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(staged), fs.makeQualified(target), over)  # one step: a reader sees the old file or the new one
+    if private:
+        fs.setPermission(target, jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
 
 
-def write_json(spark: SparkSession, path: str, value: object) -> None:
-    write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+def write_json(spark: SparkSession, path: str, value: object, private: bool = False) -> None:
+    write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", private)
 
 
 def write_bundle(root: str, run_id: str, tables: dict[str, DataFrame], documents: dict[str, object], qualified: bool, order: str = "document_id") -> str:
@@ -85,7 +88,7 @@ def privacy_receipt(spark: SparkSession, root: str, run_id: str, found: DataFram
     """Counts of violations instead of any data."""
     counts = {r["kind"]: r["n"] for r in found.select(F.explode("found").alias("f")).groupBy(F.substring_index("f", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
     path = f"{root}/privacy-failures/{run_id}.json"
-    write_json(spark, path, {"run_id": run_id, "violations": counts, "retained_items": 0})
+    write_json(spark, path, {"run_id": run_id, "violations": counts, "retained_items": 0}, private=True)
     return path
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import tables
@@ -48,6 +48,16 @@ def windowed_counts(events: DataFrame, ts: str, late: str, width: str, *by: str)
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("window"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), *by, "n")
 
 
+def is_open(ts: str, cutoff: str) -> Column:
+    return F.col(ts) < F.lit(cutoff)
+
+
 def before_cutoff(rows: DataFrame, ts: str, cutoff: str) -> DataFrame:
     """Rows published before a frozen cutoff, which never opens again."""
-    return rows.where(F.col(ts) < F.lit(cutoff))
+    return rows.where(is_open(ts, cutoff))
+
+
+def cutoff_counts(rows: DataFrame, ts: str, cutoff: str) -> DataFrame:
+    """How many rows a frozen cutoff leaves out, and how many it lets be processed."""
+    open_ = is_open(ts, cutoff)
+    return rows.agg(F.count_if(~open_).alias("after_cutoff"), F.count_if(open_).alias("processed"))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors share; a folder of our own only where it is unset, as in local tests."""
+    """``spark.checkpoint.dir``, which all executors share; in a local session a folder of our own where it is unset; a cluster must set it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark.sparkContext, "_quernstone_tables", None)
     if own is None:
         own = spark.sparkContext._quernstone_tables = "file://" + tempfile.mkdtemp(prefix="quernstone-")

@@ -158,10 +158,18 @@ def test_qualification(spark):
 
 def test_gates(spark):
     day = datetime.datetime(2024, 3, 1)
-    ev = [("c", f"a{i % 5}", f"g{i % 3}", day - datetime.timedelta(days=i), k, 0.5) for i, k in enumerate(["loss"] * 3 + ["money"] * 3 + ["link"] * 4)]
-    schema = "cluster string, author_hash string, evidence_group_id string, published_at timestamp, kind string, confidence double"
-    gate = lambda rows: opportunity.evidence_gate(spark.createDataFrame(rows, schema), "cluster", F.lit("2024-03-02").cast("timestamp")).first().evidence_backed
-    assert gate(ev) and not gate(ev[1:]) and not gate([*ev, ("c", "a1", "g1", day, "counter", 0.9)])
+    ev = [("c", f"a{i % 5}", f"g{i % 3}", day - datetime.timedelta(days=i), k, f"u{i}") for i, k in enumerate(["loss"] * 2 + ["money", "willingness_to_pay"] + ["problem"] * 6)]
+    schema = "cluster string, author_hash string, evidence_group_id string, published_at timestamp, kind string, source_url string"
+
+    def gate(rows, status="NONE_CRITICAL"):
+        assessed = spark.createDataFrame([("c", status)] if status else [], "cluster string, counter_status string")
+        return opportunity.evidence_gate(spark.createDataFrame(rows, schema), assessed, "cluster", F.lit("2024-03-02").cast("timestamp")).first().evidence_backed
+
+    assert gate(ev) and not gate(ev[1:]) and not gate(ev, "CRITICAL") and not gate(ev, None) and gate([*ev, ("c", "a1", "g1", day, "counter", "u")])
+    assert not gate([(*r[:5], "one") for r in ev]) and not gate([(*r[:4], "alternative" if r[4] == "money" else r[4], r[5]) for r in ev])
+    cards = [("a", "EVIDENCE_BACKED", [(str(i), k, k) for i, k in enumerate(("loss", "loss", "money", "willingness_to_pay", "customer_channel"))]), ("b", "EVIDENCE_BACKED", [("1", "loss", "loss")]), ("c", "x", [("1", "link", "link"), ("1", "gap", "loss")])]
+    got = {r.card_id: r.errors for r in opportunity.card_errors(spark.createDataFrame(cards, "card_id string, status string, evidence array<struct<evidence_id: string, kind: string, bucket: string>>")).collect()}
+    assert got == {"a": [], "b": ["too few links", "too few losses", "too little spending"], "c": ["evidence ids repeat", "unknown kind", "kind differs from its bucket"]}
     assert spark.range(1).select(opportunity.review_value(*[F.lit(100.0)] * 5, F.lit(7.0)).alias("v")).first().v == 93.0
 
 

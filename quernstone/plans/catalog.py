@@ -8,15 +8,19 @@ URL, thread) are derived by the same expression on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import tables
 from ..functions import ids, text, values
-from ..operators import metrics, opportunity, parse, qualify, quality, review, sampling
+from ..operators import metrics, opportunity, parse, qualify, quality, results, review, sampling
 from ..operators import select as selection
+from ..sources import sinks
+from ..streaming import observations
 
 FLAGSHIP = "q_rejection_counts"
 SECRET = b"quernstone-catalogue-test-secret"
@@ -69,17 +73,17 @@ r AS (SELECT source, CASE WHEN t = '' THEN 'missing_body' WHEN length(t) < 40 TH
 SELECT source, coalesce(reason, 'accepted') AS reason, count(*)::BIGINT AS n FROM r GROUP BY ALL""")
 def q_rejection_counts(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", text.normalize_text(F.col("text")).alias("t"))
-    rows = rows.withColumn("fp", text.fingerprint(F.col("t"))).select("doc_id", "source", "fp", F.length("t").alias("n_chars"))
+    # written once, as rows meet their own minima below
+    rows = tables.written(rows.withColumn("fp", text.fingerprint(F.col("t"))).select("doc_id", "source", "fp", F.length("t").alias("n_chars")), "prints")
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))  # partial minima: a text that many share is no hot group
     rows = rows.join(first, "fp")
     reason = parse.first_reason((F.col("n_chars") == 0, "missing_body"), (F.col("n_chars") < 40, "short_text"), (F.col("doc_id") > F.col("first"), "duplicate_text"))
     return parse.reason_counts(rows.withColumn("reason", F.coalesce(reason, F.lit("accepted"))), "source")
 
 
-@query(f"SELECT sha256({_FOLD}) AS fingerprint, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT sha256({_FOLD}) AS fingerprint, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def q_duplicate_groups(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", text.fingerprint(text.normalize_text(F.col("text"))).alias("fingerprint"))
-    return rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return qualify.duplicates(table(spark, d, "documents").select(text.text_fingerprint(F.col("text")).alias("fingerprint")), "fingerprint")
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1")
@@ -90,8 +94,7 @@ def q_window_filter(spark, d):
 
 @query("SELECT count_if(ts >= TIMESTAMP '2024-01-15')::BIGINT AS after_cutoff, count_if(ts < TIMESTAMP '2024-01-15')::BIGINT AS processed FROM events")
 def q_cutoff(spark, d):
-    cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    return table(spark, d, "events").agg(F.count_if(F.col("ts") >= cut).alias("after_cutoff"), F.count_if(F.col("ts") < cut).alias("processed"))
+    return observations.cutoff_counts(table(spark, d, "events"), "ts", "2024-01-15")
 
 
 _PADS = ["".join(f"{b ^ p:02x}" for b in SECRET.ljust(64, b"\0")) for p in (0x5C, 0x36)]
@@ -212,13 +215,15 @@ def q_label_join(spark, d):
 SELECT r.doc_id, r.reviewer AS first_reviewer, s.reviewer AS second_reviewer FROM r JOIN s ON r.doc_id = s.doc_id AND r.reviewer <> s.reviewer""")
 def q_rater_pairs(spark, d):
     l = table(spark, d, "labels")
-    a, b = l.select("doc_id", (F.col("doc_id") % 5).alias("first_reviewer")), l.select("doc_id", (F.col("doc_id") % 7).alias("second_reviewer"))
-    return a.join(b, "doc_id").where("first_reviewer <> second_reviewer")
+    return review.rater_pairs(l.select("doc_id", (F.col("doc_id") % 5).alias("reviewer_id")), l.select("doc_id", (F.col("doc_id") % 7).alias("reviewer_id")), "doc_id")
 
 
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'development' ELSE 'holdout' END AS assignment_split, count(*)::BIGINT AS n, sum(quality)::BIGINT AS n_usable FROM labels GROUP BY 1")
 def q_dev_holdout_split(spark, d):
-    return table(spark, d, "labels").withColumn("assignment_split", F.when(F.col("doc_id") % 2 == 0, "development").otherwise("holdout")).groupBy("assignment_split").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("bigint").alias("n_usable"))
+    root = f"{tables.shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    sinks.write_labels(table(spark, d, "labels").withColumn("assignment_split", F.when(F.col("doc_id") % 2 == 0, "development").otherwise("holdout")), root)
+    back = spark.read.schema("doc_id bigint, quality int, assignment_split string").json(root)
+    return back.groupBy("assignment_split").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("bigint").alias("n_usable"))
 
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
@@ -260,14 +265,12 @@ def q_pagination_continuity(spark, d):
 
 
 @query("""
-WITH l AS (SELECT event_type, event_id // 1000 AS request, count(*)::BIGINT AS attempts, sum(length(props))::BIGINT AS bytes FROM events GROUP BY 1, 2),
-n AS (SELECT event_type, request, attempts, bytes, row_number() OVER (ORDER BY request, event_type)::BIGINT AS seq FROM l),
-u AS (SELECT seq, count(*) OVER w::BIGINT AS requests_used, sum(attempts) OVER w::BIGINT AS attempts_used, sum(bytes) OVER w::BIGINT AS bytes_used FROM n WINDOW w AS (ORDER BY seq))
-SELECT seq, requests_used, attempts_used, bytes_used, CASE WHEN requests_used > 40 THEN 'request_budget_exhausted' WHEN attempts_used > 5000 THEN 'attempt_budget_exhausted' WHEN bytes_used > 70000 THEN 'byte_budget_exhausted' END AS exceeded FROM u""")
+WITH l AS (SELECT event_type, event_id // 100 AS seq, count(*)::BIGINT AS attempts, sum(length(props))::BIGINT AS bytes FROM events GROUP BY 1, 2),
+u AS (SELECT event_type, seq, count(*) OVER w::BIGINT AS requests_used, sum(attempts) OVER w::BIGINT AS attempts_used, sum(bytes) OVER w::BIGINT AS bytes_used FROM l WINDOW w AS (PARTITION BY event_type ORDER BY seq))
+SELECT event_type, seq, requests_used, attempts_used, bytes_used, CASE WHEN requests_used > 40 THEN 'request_budget_exhausted' WHEN attempts_used > 500 THEN 'attempt_budget_exhausted' WHEN bytes_used > 7000 THEN 'byte_budget_exhausted' END AS exceeded FROM u""")
 def q_run_budget(spark, d):
-    log = table(spark, d, "events").groupBy("event_type", F.floor(F.col("event_id") / 1000).alias("request")).agg(F.count(F.lit(1)).alias("attempts"), F.sum(F.length("props")).alias("bytes"))
-    log = log.withColumn("seq", F.row_number().over(Window.orderBy("request", "event_type")).cast("bigint"))
-    return qualify.run_budget(log, "seq", 40, 5000, 70000).select("seq", "requests_used", "attempts_used", "bytes_used", "exceeded")
+    log = table(spark, d, "events").groupBy("event_type", F.floor(F.col("event_id") / 100).alias("seq")).agg(F.count(F.lit(1)).alias("attempts"), F.sum(F.length("props")).alias("bytes"))
+    return qualify.run_budget(log, "seq", 40, 500, 7000, "event_type").select("event_type", "seq", "requests_used", "attempts_used", "bytes_used", "exceeded")
 
 
 @query("SELECT o_orderkey, least(0.5 * pow(2, o_orderkey % 9), 8.0) AS pause FROM orders")
@@ -287,9 +290,17 @@ def q_contact_redaction(spark, d):
     return rows.select("doc_id", F.col("r.count").alias("redacted"), text.residual_contacts(F.col("r.text")).alias("residual"), F.sha2("r.text", 256).alias("text_sha256"))
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(?i)[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}') AS has_mail, contains(text, 'token = ') AS has_secret FROM documents")
+@query(r"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'identity key: userName' END AS a, CASE WHEN contains(text, 'token = ') THEN 'secret in data' END AS b FROM documents)
+SELECT doc_id, concat_ws('|', a, b) AS found FROM f WHERE a IS NOT NULL OR b IS NOT NULL""")
 def q_privacy_scan(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(r"(?i)[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}").alias("has_mail"), F.contains("text", F.lit("token = ")).alias("has_secret"))
+    metadata = F.when(F.col("doc_id") % 5 == 0, F.lit('{"userName":"x","state":"open"}')).otherwise('{"state":"open"}')
+    found = quality.privacy_violations(table(spark, d, "documents").select("doc_id", "text", metadata.alias("source_metadata")), ("token = ",))
+    return found.select("doc_id", F.array_join("found", "|").alias("found"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}') OR regexp_matches(text, '(^|[^0-9A-Za-z_])@[A-Za-z0-9_-]+') OR regexp_matches(text, '(?i)https?://github\.com/[a-z0-9_.-]+(/|\s|$)') AS named FROM documents""")
+def q_identity_patterns(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(quality.HANDLES).alias("named"))
 
 
 @query()
@@ -364,21 +375,23 @@ def q_language_select(spark, d):
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.array(*map(F.lit, ("loss", "money", "link", "problem", "counter", "gap")))
+    kinds = F.array(*map(F.lit, ("loss", "money", "willingness_to_pay", "problem", "counter", "solution_gap")))
     e = table(spark, d, "events")
     return e.select(
         (F.col("user_id") % 40).alias("cluster"), F.col("user_id").cast("string").alias("author_hash"), (F.col("event_id") % 17).cast("string").alias("evidence_group_id"), F.col("ts").alias("published_at"),
-        F.get(kinds, (F.col("event_id") % 6).cast("int")).alias("kind"), F.when(F.col("event_id") % 997 == 4, 0.9).otherwise(0.5).alias("confidence"),
+        F.get(kinds, (F.col("event_id") % 6).cast("int")).alias("kind"), F.concat(F.lit("https://h/"), F.col("event_type")).alias("source_url"),
     )
 
 
 @query("""
-WITH e AS (SELECT user_id % 40 AS cluster, user_id, event_id % 17 AS g, ts, ['loss', 'money', 'link', 'problem', 'counter', 'gap'][event_id % 6 + 1] AS kind, CASE WHEN event_id % 997 = 4 THEN 0.9 ELSE 0.5 END AS confidence FROM events),
+WITH e AS (SELECT user_id % 40 AS cluster, user_id, event_id % 17 AS g, ts, event_type, ['loss', 'money', 'willingness_to_pay', 'problem', 'counter', 'solution_gap'][event_id % 6 + 1] AS kind FROM events),
 n AS (SELECT cluster, count(DISTINCT user_id)::BIGINT AS n_authors, count(DISTINCT g)::BIGINT AS n_groups, count_if(ts > TIMESTAMP '2024-01-31' - INTERVAL 90 DAYS AND ts <= TIMESTAMP '2024-01-31')::BIGINT AS n_recent, count_if(kind = 'loss')::BIGINT AS n_loss,
-  count_if(kind = 'money')::BIGINT AS n_money, count_if(kind = 'link')::BIGINT AS n_link, count_if(kind = 'counter' AND confidence >= 0.8)::BIGINT AS n_critical FROM e GROUP BY 1)
-SELECT *, n_authors >= 5 AND n_groups >= 3 AND n_recent >= 10 AND n_loss >= 2 AND n_money >= 2 AND n_link >= 3 AND n_critical = 0 AS evidence_backed FROM n""")
+  count_if(kind IN ('money', 'willingness_to_pay'))::BIGINT AS n_money, count(DISTINCT CASE WHEN kind <> 'counter' THEN event_type END)::BIGINT AS n_links FROM e GROUP BY 1),
+a AS (SELECT *, CASE WHEN cluster % 5 = 0 THEN 'NOT_ASSESSED' WHEN cluster % 7 = 1 THEN 'CRITICAL' ELSE 'NONE_CRITICAL' END AS counter_status FROM n)
+SELECT *, n_authors >= 5 AND n_groups >= 3 AND n_recent >= 10 AND n_loss >= 2 AND n_money >= 2 AND n_links >= 3 AND counter_status = 'NONE_CRITICAL' AS evidence_backed FROM a""")
 def q_evidence_gate(spark, d):
-    return opportunity.evidence_gate(_evidence(spark, d), "cluster", F.lit("2024-01-31").cast("timestamp_ntz"))
+    assessed = spark.range(40).where("id % 5 > 0").select(F.col("id").alias("cluster"), F.when(F.col("id") % 7 == 1, "CRITICAL").otherwise("NONE_CRITICAL").alias("counter_status"))
+    return opportunity.evidence_gate(_evidence(spark, d), assessed, "cluster", F.lit("2024-01-31").cast("timestamp_ntz"))
 
 
 _CARDS = """c AS (SELECT p_partkey AS card_id, p_size % 3 AS n_alternatives, p_size % 4 AS n_solutions, p_size % 2 + 1 AS n_channels, CASE WHEN p_size % 5 > 0 THEN 'PRODUCTIZABLE' ELSE 'SERVICE' END AS productizable, CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS n_blockers,
@@ -440,7 +453,7 @@ def q_audit_metrics(spark, d):
 
 @query()
 def q_independence_groups(spark, d):
-    rows = _items(spark, d).select("doc_id", text.fingerprint(text.normalize_text(F.col("text"))).alias("fp"), F.when(F.col("doc_id") % 7 == 0, F.col("author_hash")).alias("author"))
+    rows = _items(spark, d).select("doc_id", text.text_fingerprint(F.col("text")).alias("fp"), F.when(F.col("doc_id") % 7 == 0, F.col("author_hash")).alias("author"))
     return opportunity.independence_groups(rows, "doc_id", {"text": F.col("fp"), "author": F.col("author")}).select("doc_id", "group_id")
 
 
@@ -465,8 +478,8 @@ def q_notice_date(spark, d):
 
 @query("SELECT o_custkey, list_aggregate(list_sort(list(DISTINCT trim(o_orderpriority))), 'string_agg', chr(0)) AS buyer_key, ceil(count(*) * 1.5)::BIGINT AS required FROM orders GROUP BY 1")
 def q_buyer_key(spark, d):
-    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.trim("o_orderpriority"))), "\0").alias("buyer_key"), F.count(F.lit(1)).alias("n"))
-    return n.select("o_custkey", "buyer_key", values.required_capacity(F.col("n"), 1.5).alias("required"))
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.collect_list("o_orderpriority")).alias("buyers"), F.count(F.lit(1)).alias("n"))
+    return n.select("o_custkey", parse.buyer_key(F.col("buyers")).alias("buyer_key"), values.required_capacity(F.col("n"), 1.5).alias("required"))
 
 
 @query("SELECT CASE WHEN n >= 30 THEN 'target_reached' ELSE 'source_exhausted' END AS termination, CASE WHEN n >= 30 THEN 'success' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS status, count(*)::BIGINT AS runs FROM (SELECT user_id, count_if(value > 50) AS n FROM events GROUP BY 1) GROUP BY 1, 2")
@@ -483,3 +496,61 @@ def q_reason_maps(spark, d):
     segments = o.groupBy("segment").agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("reason") == "F").alias("accepted"))
     found = qualify.with_reason_counts(segments, o.where("reason <> 'F'"), "segment")
     return found.select("segment", "fetched", "accepted", F.array_join(F.transform(F.map_entries("rejection_reason_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("reasons"))
+
+
+_RESULT = """o AS (SELECT o_orderkey AS k, o_orderkey % 5 + 1 AS requests, o_orderkey % 6 AS successful, o_orderkey % 5 + 1 + o_orderkey % 3 AS attempts, o_orderkey % 4 AS retries, o_orderkey % 3 AS n, o_orderkey % 7 = 0 AS failed FROM orders),
+s AS (SELECT *, CASE WHEN n = 2 AND NOT failed THEN 'success' WHEN n > 0 AND NOT failed THEN 'partial' ELSE 'failed' END AS wanted FROM o)"""
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Collection results out of orders: counters that often contradict each other."""
+    k, n, failed = F.col("o_orderkey"), F.col("o_orderkey") % 3, F.col("o_orderkey") % 7 == 0
+    none = F.lit(None).cast("string")
+    segment = F.struct(F.lit("stratum").alias("segment_type"), F.lit("a").alias("segment_id"), F.lit(2).cast("bigint").alias("quota"), n.alias("accepted"), (n + 1).alias("fetched"), (n + 1).alias("processed"), F.lit(1).cast("bigint").alias("rejected"))
+    status = F.when(k % 2 == 0, results.expected_status(n, F.lit(2), n == 2, F.when(failed, "prerequisite_failed").otherwise("target_reached"))).otherwise("success")
+    event = F.struct(
+        F.lit(1).cast("bigint").alias("sequence"), F.when(k % 11 == 0, "odd").otherwise("timeout").alias("category"), F.lit(1).cast("bigint").alias("attempt"), (F.lit(200) + k % 401).alias("status_code"), F.lit(True).alias("retryable"),
+        F.struct(*[F.lit(1).cast("bigint").alias(c) for c in results.LIMIT_NUMBERS], F.when(k % 2 == 0, "core").otherwise("x").alias("resource")).alias("rate_limit"),
+    )
+    return table(spark, d, "orders").select(
+        k, *[F.lit("x").alias(c) for c in ("source", "run_id", "manifest_version", "adapter_version")], F.lit("2024-01-01").cast("timestamp").alias("started_at"), F.lit("2024-01-02").cast("timestamp").alias("finished_at"), F.lit(2).cast("bigint").alias("target_valid_count"),
+        (k % 5 + 1).alias("request_count"), F.lit(1).cast("bigint").alias("response_bytes"), (k % 4).alias("retry_count"), F.lit(0).cast("bigint").alias("rate_limit_events"), (k % 6).alias("successful_request_count"), (k % 5 + 1 + k % 3).alias("http_attempt_count"),
+        (n + 1).alias("fetched_item_count"), (n + 1).alias("processed_item_count"), n.alias("accepted_item_count"), F.lit(1).cast("bigint").alias("rejected_item_count"), F.array(event).alias("transport_events"), n.alias("n_items"), F.lit(1).cast("bigint").alias("n_invalid_items"),
+        F.array(segment).alias("segments"), F.lit("a" * 64).alias("manifest_hash"), none.alias("compliance_hash"), F.when(failed, "prerequisite_failed").otherwise("target_reached").alias("termination_reason"), status.alias("status"),
+        F.when(status != "success", "some_code").alias("error_code"), none.alias("error_message"),
+    )
+
+
+@query(f"""WITH {_RESULT}, t AS (SELECT *, CASE WHEN k % 2 = 0 THEN wanted ELSE 'success' END AS status FROM s)
+SELECT k AS o_orderkey, concat_ws('; ', CASE WHEN successful > requests THEN 'more successes than requests' END, CASE WHEN retries <> attempts - requests THEN 'retries must be attempts beyond requests' END,
+  CASE WHEN k % 11 = 0 OR k % 401 > 399 OR k % 2 = 1 THEN 'a transport event is out of its lists' END, CASE WHEN failed AND n > 0 THEN 'a failed prerequisite keeps no items' END, CASE WHEN status <> wanted THEN 'status must be ' || wanted END) AS errors FROM t""")
+def q_result_errors(spark, d):
+    return _results(spark, d).select("o_orderkey", F.array_join(results.result_errors(), "; ").alias("errors"))
+
+
+@query(f"WITH {_RESULT} SELECT wanted AS status, CASE WHEN wanted <> 'success' THEN CASE WHEN failed THEN 'prerequisite_failed' ELSE 'target_reached' END END AS error_code, count(*)::BIGINT AS runs FROM s GROUP BY 1, 2")
+def q_result_status(spark, d):
+    rows = _results(spark, d).withColumn("status", results.expected_status(F.col("n_items"), F.col("target_valid_count"), F.forall("segments", lambda s: s["accepted"] == s["quota"]), F.col("termination_reason")))
+    return rows.groupBy("status", results.error_code(F.col("termination_reason"), F.col("status")).alias("error_code")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'unknown' ELSE 'timeout' END AS category, CASE WHEN o_orderkey % 2 = 0 THEN 'core' ELSE 'unknown' END AS resource, count(*)::BIGINT AS n, count_if(o_orderkey % 11 > 0)::BIGINT AS timeouts FROM orders GROUP BY 1, 2""")
+def q_safe_events(spark, d):
+    rows = _results(spark, d).select(F.transform("transport_events", results.safe_event).alias("events"))
+    rows = rows.select(F.get("events", F.lit(0)).alias("e"), results.events_of(F.col("events"), "timeout").alias("t"))
+    return rows.groupBy(F.col("e.category").alias("category"), F.col("e.rate_limit.resource").alias("resource")).agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("timeouts"))
+
+
+@query("SELECT o_orderkey, o_custkey % 50 < 10 + (12 - o_orderkey % 12) AS stops, o_orderkey % 3 > 0 AS observed FROM orders")
+def q_quota_reserve(spark, d):
+    k = F.col("o_orderkey")
+    code = F.when(k % 3 == 0, "runner_run_id_mismatch").when(k % 3 == 1, "transport_error")
+    return table(spark, d, "orders").select(k, results.quota_reserve_reached(F.col("o_custkey") % 50, F.lit(10), F.lit(12), k % 12).alias("stops"), results.metrics_observed(code).alias("observed"))
+
+
+@query("""WITH r AS (SELECT split_part(o_orderpriority, '-', 1) AS stratum, o_orderstatus AS reason FROM orders), c AS (SELECT stratum, reason, count(*)::BIGINT AS n FROM r GROUP BY 1, 2), t AS (SELECT DISTINCT split_part(o_orderpriority, '-', 1) AS stratum FROM orders UNION ALL SELECT '9')
+SELECT t.stratum, c.reason, coalesce(c.n, 0)::BIGINT AS n FROM t LEFT JOIN c USING (stratum)""")
+def q_stratum_rejections(spark, d):
+    o = table(spark, d, "orders")
+    strata = o.select(F.substring_index("o_orderpriority", "-", 1).alias("stratum")).distinct().unionByName(spark.range(1).select(F.lit("9").alias("stratum")))
+    return results.rejections_by_stratum(o.select(F.concat(F.substring_index("o_orderpriority", "-", 1), F.lit(":"), "o_orderkey").alias("source_item_id"), F.col("o_orderstatus").alias("reason")), strata)

@@ -451,15 +451,20 @@ def q_audit_metrics(spark, d):
     return found.select(*[F.round(c, 9).alias(c) for c in ("positive_precision", "boundary_error", "merge_error")], "median_minutes", "passed")
 
 
-@query()
+@query(f"""WITH RECURSIVE k AS (SELECT doc_id, 't' || sha256({_FOLD}) AS key FROM documents UNION ALL SELECT doc_id, 'a' || (doc_id % 211) FROM documents WHERE doc_id % 7 = 0),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, b.doc_id FROM reach r JOIN k a ON a.doc_id = r.other JOIN k b ON a.key = b.key)
+SELECT id AS doc_id, min(other) AS group_id FROM reach GROUP BY 1""")
 def q_independence_groups(spark, d):
     rows = _items(spark, d).select("doc_id", text.text_fingerprint(F.col("text")).alias("fp"), F.when(F.col("doc_id") % 7 == 0, F.col("author_hash")).alias("author"))
     return opportunity.independence_groups(rows, "doc_id", {"text": F.col("fp"), "author": F.col("author")}).select("doc_id", "group_id")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.4),
+reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other)
+SELECT id AS vec_id, min(other) AS cluster_id FROM reach GROUP BY 1""")
 def q_cluster_similarity(spark, d):
-    links = opportunity.similarity_links(table(spark, d, "embeddings"), "vec_id", "embedding", 0.7, spanning=True)
+    """At a cosine that some of the tables' vectors reach."""
+    links = opportunity.similarity_links(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4, spanning=True)
     roots = opportunity.components(links.select("a", "b"))
     return table(spark, d, "embeddings").join(roots, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("root", "vec_id").alias("cluster_id"))
 

@@ -9,24 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _fs(spark: SparkSession, path: str):
+def path_of(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target, fs = _fs(spark, path)
+    target, fs = path_of(spark, path)
     return fs.exists(target)
 
 
 def write_text(spark: SparkSession, path: str, content: str, private: bool = False) -> None:
     """A small file, whole or not at all: written beside its place, then renamed over it."""
-    staged, fs = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    staged, fs = path_of(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(staged)
     out.write(bytearray(content.encode()))
     out.close()
     jvm = spark.sparkContext._jvm
-    target, _ = _fs(spark, path)
+    target, _ = path_of(spark, path)
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -48,13 +48,13 @@ def write_bundle(root: str, run_id: str, tables: dict[str, DataFrame], documents
     final, staged = f"{root}/runs/{run_id}", f"{root}/.staged-{run_id}"
     if exists(spark, final) or exists(spark, staged):
         raise FileExistsError(final)
-    target, fs = _fs(spark, staged)
+    target, fs = path_of(spark, staged)
     try:
         for name, df in tables.items():
             (df.repartitionByRange(order).sortWithinPartitions(order) if order in df.columns else df).write.mode("errorifexists").json(f"{staged}/{name}")
         for name, value in documents.items():
             write_json(spark, f"{staged}/{name}.json", value)
-        place, _ = _fs(spark, final)
+        place, _ = path_of(spark, final)
         fs.mkdirs(place.getParent())
         if not fs.rename(target, place):
             raise OSError(f"could not name {final}")

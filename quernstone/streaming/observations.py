@@ -2,45 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators.select import Key, accepted_keys, select
+from ..sources.sinks import exists, path_of
 
 
 class StreamingSelection:
     """Greedy selection over micro-batches: pass ``process`` to ``foreachBatch``.
 
-    Keys that accepted rows hold come before all rows of later batches.  A batch that is replayed
-    after a failure is recognised by its number and not selected again.
+    Keys that accepted rows hold come before all rows of later batches.  Results and held keys lie
+    in ``root`` by the number of their batch.  A batch is done once its keys are written, so one
+    that is replayed after a failure, in this process or a later one with the same ``root``, is
+    selected again only if it wasn't done.
     """
 
-    def __init__(self, keys: list[Key], order: str, quota: int | None = None) -> None:
-        self.keys, self.order, self.quota = keys, order, quota
-        self.held: DataFrame | None = None
-        self.results: dict[int, DataFrame] = {}
-        self.n_accepted = 0
+    def __init__(self, spark: SparkSession, keys: list[Key], order: str, quota: int | None = None, root: str | None = None) -> None:
+        self.spark, self.keys, self.order, self.quota = spark, keys, order, quota
+        self.root = root or f"{tables.shared_dir(spark)}/selection-{uuid.uuid4().hex}"
+
+    def _path(self, kind: str, number: int) -> str:
+        return f"{self.root}/{kind}/{number:012d}"
+
+    def numbers(self) -> list[int]:
+        """Batches that are done."""
+        folder, fs = path_of(self.spark, f"{self.root}/held")
+        if not fs.exists(folder):
+            return []
+        found = [int(x.getPath().getName()) for x in fs.listStatus(folder)]
+        return sorted(n for n in found if exists(self.spark, f"{self._path('held', n)}/_SUCCESS"))
+
+    def _read(self, kind: str, numbers: list[int]) -> DataFrame | None:
+        return self.spark.read.parquet(*[self._path(kind, n) for n in numbers]) if numbers else None
 
     def process(self, batch: DataFrame, number: int) -> None:
-        if number in self.results:
+        done = self.numbers()
+        if number in done:
             return
-        left = None if self.quota is None else self.quota - self.n_accepted
+        before = [n for n in done if n < number]
+        earlier = self._read("results", before)
+        left = None if self.quota is None else self.quota - (earlier.where("accepted").count() if earlier is not None else 0)
         if left == 0:  # the rest of the stream is fetched but not processed
             part = batch.withColumn("accepted", F.lit(None).cast("boolean")).withColumn("reason", F.lit(None).cast("string"))
         else:
-            part = select(batch, F.col(self.order), self.keys, left, self.held)
-        part = tables.written(part, "stream")
-        self.n_accepted += part.where("accepted").count()
-        new = accepted_keys(part, self.keys)
-        self.held = tables.written(new if self.held is None else self.held.unionByName(new), "held")
-        self.results[number] = part
-
-    def selected(self) -> DataFrame:
-        out = None
-        for _, part in sorted(self.results.items()):
-            out = part if out is None else out.unionByName(part)
-        return out
+            part = select(batch, F.col(self.order), self.keys, left, self._read("held", before))
+        part.write.mode("overwrite").parquet(self._path("results", number))
+        accepted_keys(self._read("results", [number]), self.keys).write.mode("overwrite").parquet(self._path("held", number))
+
+    def selected(self) -> DataFrame | None:
+        return self._read("results", self.numbers())
 
 
 def windowed_counts(events: DataFrame, ts: str, late: str, width: str, *by: str) -> DataFrame:

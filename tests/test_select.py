@@ -70,7 +70,7 @@ def test_null_keys_and_empty(spark):
 
 def test_stream_equals_batch(spark):
     rows = sample(random.Random(7), 30)
-    state = StreamingSelection(keys(), "ord", quota=10)
+    state = StreamingSelection(spark, keys(), "ord", quota=10)
     for number, at in enumerate(range(0, 30, 10)):
         state.process(table(spark, rows[at : at + 10]), number)
     state.process(table(spark, rows[:10]), 0)  # a replayed batch

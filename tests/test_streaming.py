@@ -9,12 +9,23 @@ def test_files_as_micro_batches(spark, tmp_path):
     later = spark.createDataFrame([(4, "b"), (5, "c")], "ord long, k string")
     for n, part in enumerate((rows, later)):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    state = StreamingSelection([Key("repeat", F.col("k"))], "ord")
+    state = StreamingSelection(spark, [Key("repeat", F.col("k"))], "ord", root=f"file://{tmp_path}/state")
     for n in (0, 1):  # one page arrives after the other; the checkpoint carries the stream's place
         stream = spark.readStream.schema("ord long, k string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/{n}")
-        held = len(state.results)
+        held = len(state.numbers())
         stream.writeStream.foreachBatch(lambda batch, i, held=held: state.process(batch, held + i)).option("checkpointLocation", f"{tmp_path}/c{n}").trigger(availableNow=True).start().awaitTermination()
-    assert {r.ord: r.accepted for r in state.selected().collect()} == {1: True, 2: True, 3: False, 4: False, 5: True}
+    want = {1: True, 2: True, 3: False, 4: False, 5: True}
+    assert {r.ord: r.accepted for r in state.selected().collect()} == want
+    # another process that finds the same state takes up there: a replayed batch changes nothing
+    again = StreamingSelection(spark, [Key("repeat", F.col("k"))], "ord", root=f"file://{tmp_path}/state")
+    again.process(later, 1)
+    assert {r.ord: r.accepted for r in again.selected().collect()} == want
+    again.process(spark.createDataFrame([(6, "c"), (7, "d")], "ord long, k string"), 2)
+    assert {r.ord: r.accepted for r in again.selected().collect()} == want | {6: False, 7: True}
+    few = StreamingSelection(spark, [Key("repeat", F.col("k"))], "ord", quota=2)
+    few.process(rows, 0)
+    few.process(later, 1)
+    assert few.numbers() == [0, 1] and sorted(r.ord for r in few.selected().where("accepted").collect()) == [1, 2]
 
 
 def test_windows_and_late_rows(spark, tmp_path):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extract, langid, licenses, mixing, packing, quality, simhash, tokencount, topk
+from . import chat, codes, extract, langid, licenses, mixing, packing, quality, simhash, tokencount, topk, urlfilter, whitening
 from .common import new_path, table
 
 
@@ -157,6 +158,69 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sound vector on the 32 first components; a deviation beyond a long is null, as its type can't hold it."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+#: The rules that the query judges by: host, start of the path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL by five rules; what none fits is allowed."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_rows(spark, URL_RULES))
+
+
+OP12_SQL = f"""
+WITH rules AS (SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) r(rule_host, rule_path, rule_verdict)),
+rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (
+  SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+best AS (
+  SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
+  FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parsed LEFT JOIN best USING (n)
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every sound vector after four rounds, and how far it is off."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    """The rounds unrolled: distances by inner products of integers, exact as doubles."""
+    found = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (
+  SELECT vec_id, label, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS x FROM kept, range({parts}) r(p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM pieces QUALIFY e < {entries})"""
+    ]
+    for n in range(rounds + 1):
+        found.append(f"""near{n} AS MATERIALIZED (
+  SELECT a.vec_id, any_value(a.label) AS label, a.p, any_value(a.x) AS x,
+         min((list_inner_product(a.x, a.x) - 2 * list_inner_product(a.x, b.x) + list_inner_product(b.x, b.x))::BIGINT * {entries} + b.e) AS best
+  FROM pieces a JOIN book{n} b USING (p) GROUP BY a.vec_id, a.p)""")
+        if n < rounds:
+            found.append(f"""mean{n} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT p, best % {entries} AS e, i, floor(sum(x[i]) / count(*)) AS m FROM near{n}, range(1, 1 + (SELECT max(len(x)) FROM pieces)) r(i) GROUP BY 1, 2, 3) GROUP BY p, e),
+book{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{n} b LEFT JOIN mean{n} m USING (p, e))""")
+    return ",\n".join(found) + f"""
+SELECT vec_id, string_agg(lower(lpad(to_hex(best % {entries}), 2, '0')), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error,
+       (sum(sum(best // {entries})) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM near{rounds} GROUP BY vec_id, label"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -168,10 +232,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_url_filter": op12_url_filter,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op5_exact_topk": OP5_SQL,
     "op9_chat_format": OP9_SQL,
+    "op12_url_filter": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .. import tables
+from .. import documents, tables
+from ..functions import rules
 from ..functions.ids import score
-from ..schemas import EVIDENCE_KINDS, SPENDING_KINDS
-from .quality import violations
+from ..schemas import SPENDING_KINDS
 
 #: Rows and values of a chunk of vectors, rows of one product, pairs decided at once.
 CHUNK, CHUNK_VALUES, STRIP, PRODUCTS = 16_384, 1 << 22, 128, 32_768
@@ -268,15 +268,6 @@ def audit_metrics(audited: DataFrame) -> DataFrame:
     return n.withColumn("passed", F.coalesce((F.col("positive_precision") >= 0.8) & (F.col("boundary_error") <= 0.3) & (F.col("merge_error") <= 0.1) & (F.col("median_minutes") <= 5), F.lit(False)))
 
 
-def _of_kinds(*kinds: str) -> Column:
-    return F.size(F.filter("evidence", lambda e: e["kind"].isin(*kinds)))
-
-
-def card_errors(cards: DataFrame) -> DataFrame:
-    """Cards (card_id, status, evidence array of id and kind with bucket) with their broken rules."""
-    ids = F.transform("evidence", lambda e: e["evidence_id"])
-    return cards.withColumn("errors", violations(
-        (F.size(F.array_distinct(ids)) != F.size(ids), "evidence ids repeat"), (F.exists("evidence", lambda e: ~e["kind"].isin(*EVIDENCE_KINDS)), "unknown kind"), (F.exists("evidence", lambda e: e["kind"] != e["bucket"]), "kind differs from its bucket"),
-        ((F.col("status") == "EVIDENCE_BACKED") & (F.size(F.filter("evidence", lambda e: e["kind"] != "counter")) < 3), "too few links"),
-        ((F.col("status") == "EVIDENCE_BACKED") & (_of_kinds("loss") < 2), "too few losses"), ((F.col("status") == "EVIDENCE_BACKED") & (_of_kinds(*SPENDING_KINDS) < 2), "too little spending"),
-    ))
+def card_errors(json: str) -> Column:
+    """What is wrong with a card, a JSON column by name: its fields, its evidence by kind, and what its states ask for."""
+    return rules.errors(json, documents.CARD)

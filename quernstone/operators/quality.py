@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..schemas import ALLOWED_METADATA, ITEM_TYPES, MAX_TEXT, MIN_TEXT, MONEY_SIGNALS
+from .. import documents
+from ..functions import rules, text
+from ..schemas import ALLOWED_METADATA, MAX_TEXT, MIN_TEXT, MONEY_SIGNALS
 
 
 def violations(*rules: tuple[Column, str | Column]) -> Column:
@@ -15,15 +16,20 @@ def violations(*rules: tuple[Column, str | Column]) -> Column:
     return F.filter(F.array(*each), lambda m: m.isNotNull())
 
 
+def item_json() -> Column:
+    """A record's columns as the JSON document they stand for; metadata that can't be read is null."""
+    open_parts = {"engagement": F.parse_json(F.to_json("engagement")), "source_metadata": F.try_parse_json("source_metadata")}  # absent counters stay absent
+    return F.to_json(F.struct(*[open_parts.get(c, F.col(c)).alias(c) for c in documents.ITEM["properties"]]), {"ignoreNullFields": "false"})
+
+
 def with_errors(items: DataFrame) -> DataFrame:
-    """``items`` with ``errors``: shape rules first, and the rules of meaning only where the shape is sound."""
-    items = items.withColumn("_normal", text.normalize_text(F.col("text"))).withColumn("_print", text.fingerprint(F.col("_normal"))).withColumn("_paths", text.key_paths(F.col("source_metadata")))
-    hexes = [~F.col(c).rlike("^[0-9a-f]{64}$") for c in ("author_hash", "text_fingerprint")]
-    shape = violations(
-        *[(F.coalesce(F.col(c), F.lit("")) == "", f"{c}: required") for c in ("document_id", "source", "source_item_id", "source_url", "community", "thread_id", "collector_version", "fetch_run_id")],
-        (~F.col("item_type").isin(*ITEM_TYPES), "item_type: unknown"), (hexes[0], "author_hash: not a digest"), (hexes[1], "text_fingerprint: not a digest"), (F.col("parent_id").isNotNull(), "parent_id: must be null"),
-        ((F.length("text") < MIN_TEXT) | (F.length("text") > MAX_TEXT), "text: length out of bounds"), (F.col("text_length") < 0, "text_length: negative"),
-    )
+    """``items`` with ``errors``: the contract's, by path, and the rules of meaning only where it holds.
+
+    Metadata whose text is no JSON is named for what it repeats or can't count.
+    """
+    items = items.withColumn("_normal", text.normalize_text(F.col("text"))).withColumn("_print", text.fingerprint(F.col("_normal"))).withColumn("_paths", text.key_paths(F.col("source_metadata"))).withColumn("_json", item_json())
+    unread = F.transform(F.when(F.try_parse_json("source_metadata").isNull(), rules.malformed("source_metadata")), lambda e: F.concat(F.lit("source_metadata."), F.array_join(e["path"], "."), F.lit(": "), e["rule"]))
+    shape = F.sort_array(F.concat(rules.errors("_json", documents.ITEM), F.coalesce(unread, F.array().cast("array<string>"))))
     named = text.identity_paths(F.col("_paths"))
     keys = F.transform("_paths", lambda p: text.canonical_key(F.regexp_replace(p, r"\[\d+\]", "")))
     allowed = F.lit(None).cast("array<string>")
@@ -36,7 +42,8 @@ def with_errors(items: DataFrame) -> DataFrame:
         (F.when(F.col("text_truncated"), (F.length("text") != MAX_TEXT) | (F.col("original_text_length") <= F.length("text"))).otherwise(F.col("original_text_length") != F.length("text")), "original_text_length contradicts text_truncated"),
     )
     meaning = F.concat(meaning, F.transform(named, lambda p: F.concat(F.lit("identity key: "), p)), F.when(F.size(named) == 0, F.transform(strange, lambda k: F.concat(F.lit("key not allowed: "), k))).otherwise(F.array().cast("array<string>")))
-    return items.withColumn("errors", F.when(F.size(shape) > 0, shape).otherwise(meaning)).drop("_normal", "_print", "_paths")
+    items = items.withColumn("_shape", shape)
+    return items.withColumn("errors", F.when(F.size("_shape") > 0, F.col("_shape")).otherwise(meaning)).drop("_normal", "_print", "_paths", "_json", "_shape")
 
 
 def in_window(ts: Column, after: Column | str, before: Column | str) -> Column:
@@ -65,9 +72,26 @@ def submission_errors() -> Column:
     )
 
 
-def segment_errors() -> Column:
-    """Broken arithmetic of a segment's counters."""
-    return violations(
-        (F.col("processed") != F.col("accepted") + F.col("rejected"), "processed must be accepted plus rejected"), (F.col("processed") > F.col("fetched"), "processed exceeds fetched"), (F.col("accepted") > F.col("quota"), "accepted exceeds the quota"),
-        (F.least("quota", "accepted", "fetched", "processed", "rejected") < 0, "a counter is negative"),
+def segment_errors(json: str) -> Column:
+    """What is wrong with the counters of a segment, a JSON column by name: the contract, then their arithmetic."""
+    n = lambda name: F.try_variant_get(F.try_parse_json(json), f"$.{name}_item_count", "bigint")
+    quota = F.try_variant_get(F.try_parse_json(json), "$.quota", "bigint")
+    return rules.errors(
+        json, documents.SEGMENT, ("accepted_item_count", n("accepted") > quota, "exceeds the quota"), ("processed_item_count", n("processed") != n("accepted") + n("rejected"), "must be accepted plus rejected"),
+        ("processed_item_count", n("processed") > n("fetched"), "exceeds fetched"),
     )
+
+
+def label_errors(json: str) -> Column:
+    """What is wrong with a label, a JSON column by name."""
+    return rules.errors(json, documents.LABEL)
+
+
+def invalid_item_errors(json: str) -> Column:
+    """What is wrong with the note of a rejected record, a JSON column by name."""
+    return rules.errors(json, documents.INVALID_ITEM)
+
+
+def wrapper_errors(json: str) -> Column:
+    """What is wrong with a page of notices as it was received, a JSON column by name."""
+    return rules.errors(json, documents.WRAPPER)

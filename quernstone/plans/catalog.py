@@ -559,3 +559,6 @@ def q_stratum_rejections(spark, d):
     o = table(spark, d, "orders")
     strata = o.select(F.substring_index("o_orderpriority", "-", 1).alias("stratum")).distinct().unionByName(spark.range(1).select(F.lit("9").alias("stratum")))
     return results.rejections_by_stratum(o.select(F.concat(F.substring_index("o_orderpriority", "-", 1), F.lit(":"), "o_orderkey").alias("source_item_id"), F.col("o_orderstatus").alias("reason")), strata)
+
+
+from . import contract_queries  # noqa: E402, F401  its queries register themselves

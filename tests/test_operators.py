@@ -63,10 +63,12 @@ def test_notices(spark):
 
 def test_every_error_is_reported(spark):
     item = parse.accepted(parse.parse_issues(read(spark, [{"id": "1", "number": 5, "html_url": "https://h/x", "title": "t", "body": BODY, "created_at": "2024-01-01T00:00:00Z"}], ISSUE), "o/r", RUN))
-    bad = item.withColumns({"document_id": F.lit("other"), "text_length": F.lit(3).cast("long"), "source_metadata": F.lit('{"userName":"x","odd":1}'), "text": F.concat("text", F.lit("  end"))})
+    bad = item.withColumns({"document_id": F.lit("other"), "text_length": F.lit(4000).cast("long"), "source_metadata": F.lit('{"userName":"x","odd":1}'), "text": F.concat("text", F.lit("  end"))})
     errors = quality.with_errors(bad).first().errors
     assert len(errors) == 6 and "identity key: userName" in errors
     assert quality.with_errors(item.withColumn("source_metadata", F.lit('{"odd":1}'))).first().errors == ["key not allowed: odd"]
+    shapeless = item.withColumns({"title": F.lit(""), "text_length": F.lit(3).cast("long"), "author_hash": F.lit("x"), "source_metadata": F.lit('{"state":{"a":NaN,"a":1}}')})
+    assert quality.with_errors(shapeless).first().errors == ["author_hash: pattern", "source_metadata.state.a: non-finite number", "source_metadata.state.a: repeated key", "source_metadata: type object", "text_length: minimum 40", "title: oneOf"]
     assert quality.privacy_violations(bad, ("other",)).first().found == ["identity key: userName", "secret in data"]
     assert quality.privacy_violations(item, ("nowhere",)).count() == 0
 
@@ -167,9 +169,6 @@ def test_gates(spark):
 
     assert gate(ev) and not gate(ev[1:]) and not gate(ev, "CRITICAL") and not gate(ev, None) and gate([*ev, ("c", "a1", "g1", day, "counter", "u")])
     assert not gate([(*r[:5], "one") for r in ev]) and not gate([(*r[:4], "alternative" if r[4] == "money" else r[4], r[5]) for r in ev])
-    cards = [("a", "EVIDENCE_BACKED", [(str(i), k, k) for i, k in enumerate(("loss", "loss", "money", "willingness_to_pay", "customer_channel"))]), ("b", "EVIDENCE_BACKED", [("1", "loss", "loss")]), ("c", "x", [("1", "link", "link"), ("1", "gap", "loss")])]
-    got = {r.card_id: r.errors for r in opportunity.card_errors(spark.createDataFrame(cards, "card_id string, status string, evidence array<struct<evidence_id: string, kind: string, bucket: string>>")).collect()}
-    assert got == {"a": [], "b": ["too few links", "too few losses", "too little spending"], "c": ["evidence ids repeat", "unknown kind", "kind differs from its bucket"]}
     assert spark.range(1).select(opportunity.review_value(*[F.lit(100.0)] * 5, F.lit(7.0)).alias("v")).first().v == 93.0
 
 

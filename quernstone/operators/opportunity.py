@@ -48,28 +48,53 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def independence_groups(evidence: DataFrame, id_col: str, keys: dict[str, Column], bursts: tuple[str, str, str] | None = None) -> DataFrame:
-    """``evidence`` with group_id, the least id it is connected to through a shared key or a burst.
-
-    A key links each row to its least row, so a frequent key gives as many links as it has rows.
-    ``bursts`` (community, time, gap) links rows of a community that follow within the gap.
+def independence_groups(evidence: DataFrame, id_col: str, keys: dict[str, Column], bursts: tuple[str, str, str] | None = None, more: DataFrame | None = None) -> DataFrame:
+    """``evidence`` with group_id, the least id it is connected to: by a shared key, a burst, or a link of ``more``.
+
+    A key may be an array, such as the events that a row speaks of: each of its values links.  A key
+    links each row to its least row, so a frequent key gives as many links as it has rows.
+    ``bursts`` (community, time, gap) is as in ``burst_links``; ``more`` has links (a, b), as from
+    ``near_text_links``.  A row without an id has a null group; rows that share an id share a group.
+    Columns may have any name; one called group_id is replaced.
     """
-    links = []
+    links = [] if more is None else [more.select("a", "b")]
     # written once: keys may be costly, and each is read twice
-    narrow = tables.written(evidence.select(F.col(id_col).alias("a"), *[column.alias(f"k{n}") for n, column in enumerate(keys.values())]), "evidence-keys")
+    narrow = tables.written(evidence.select(F.col(id_col).alias("a"), *[column.alias(f"k{n}") for n, column in enumerate(keys.values())]).where("a IS NOT NULL"), "evidence-keys")
     for n in range(len(keys)):
-        rows = narrow.select("a", F.col(f"k{n}").alias("k")).where("k IS NOT NULL")
+        several = narrow.schema[f"k{n}"].dataType.typeName() == "array"
+        rows = narrow.select("a", (F.explode(f"k{n}") if several else F.col(f"k{n}")).alias("k")).where("k IS NOT NULL")
         links.append(rows.join(rows.groupBy("k").agg(F.min("a").alias("b")), "k").select("a", "b"))
     if bursts:
-        community, ts, gap = bursts
-        order = Window.partitionBy(community).orderBy(ts, id_col)
-        near = evidence.select(F.col(id_col).alias("a"), F.lag(id_col).over(order).alias("b"), (F.col(ts) <= F.lag(ts).over(order) + F.expr(f"INTERVAL {gap}")).alias("near"))
-        links.append(near.where("near").select("a", "b"))
+        links.append(burst_links(evidence, id_col, *bursts))
+    if not links:
+        raise ValueError("nothing that could link rows")
     edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
+    for part in links[1:]:
+        edges = edges.unionByName(part)
     roots = components(edges)
-    return evidence.join(roots, F.col(id_col) == F.col("node"), "left").withColumn("group_id", F.coalesce("root", F.col(id_col))).drop("node", "root")
+    others = [c for c in evidence.columns if c != "group_id"]
+    held = evidence.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(id_col).alias("id"))
+    return held.join(roots, F.col("id") == F.col("node"), "left").select("row.*", F.coalesce("root", "id").alias("group_id"))
+
+
+def burst_links(rows: DataFrame, id_col: str, community: str, ts: str, gap: str) -> DataFrame:
+    """Links (a, b) that connect the rows of a community that follow each other within ``gap``.
+
+    Time is cut into buckets as long as the gap.  All rows of a bucket are connected, so each is
+    linked to the bucket's least id; and a bucket is connected to the next one, if at all, by its
+    last row and that one's first.  Buckets are aggregated before they are shuffled and meet by an
+    equi-join, so no task holds a community.  A null community is none; rows without a time or id
+    have no link.  ``gap`` is a positive interval of days or less, as text.
+    """
+    length = F.unix_micros(F.lit("1970-01-01").cast("timestamp") + F.expr(f"INTERVAL {gap}"))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    known = rows.select(F.col(id_col).alias("a"), F.col(community).alias("community"), at.alias("at")).where("a IS NOT NULL AND community IS NOT NULL AND at IS NOT NULL")
+    known = known.withColumn("bucket", F.floor((F.col("at") - F.pmod("at", length)) / length + 0.5).cast("bigint"))
+    buckets = known.groupBy("community", "bucket").agg(F.min("a").alias("b"), F.min("at").alias("first"), F.max("at").alias("last"))
+    within = known.join(buckets.select("community", "bucket", "b"), ["community", "bucket"]).select("a", "b")
+    after = buckets.select("community", (F.col("bucket") - 1).alias("bucket"), F.col("b").alias("a"), "first")
+    across = buckets.select("community", "bucket", "b", "last").join(after, ["community", "bucket"]).where(F.col("first") - F.col("last") <= length).select("a", "b")
+    return within.unionByName(across)
 
 
 def similarity_links(vectors: DataFrame, id_col: str, vector_col: str, least: float, spanning: bool = False, chunk: int = CHUNK) -> DataFrame:

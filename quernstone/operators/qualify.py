@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text
 from .metrics import ratio
 from .quality import with_errors
+from .runs import running
 
 
 def failures(**broken: Column) -> Column:
@@ -89,11 +90,16 @@ def pagination(pages: DataFrame, by: str, page: str = "page", signature: str = "
     )
 
 
-def run_budget(log: DataFrame, order: str, max_requests: int, max_attempts: int, max_bytes: int, run: str = "run_id") -> DataFrame:
-    """A request log with what each run has spent so far and the first budget that is then exceeded."""
-    so_far = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = log.withColumns({"requests_used": F.count(F.lit(1)).over(so_far), "attempts_used": F.sum("attempts").over(so_far), "bytes_used": F.sum("bytes").over(so_far)})
-    return rows.withColumn("exceeded", F.when(F.col("requests_used") > max_requests, "request_budget_exhausted").when(F.col("attempts_used") > max_attempts, "attempt_budget_exhausted").when(F.col("bytes_used") > max_bytes, "byte_budget_exhausted"))
+def run_budget(log: DataFrame, order: str, max_requests: int, max_attempts: int, max_bytes: int, run: str = "run_id", max_millis: int | None = None) -> DataFrame:
+    """A request log with what each run has spent so far and the first budget that is then exceeded.
+
+    ``max_millis`` is a deadline for the sum of the log's ``millis``.
+    """
+    sums = {"requests_used": F.lit(1), "attempts_used": F.col("attempts"), "bytes_used": F.col("bytes")} | ({"millis_used": F.col("millis")} if max_millis is not None else {})
+    rows = running(log, [run], [order], sums)
+    late = F.col("millis_used") >= max_millis if max_millis is not None else F.lit(False)
+    exceeded = F.when(F.col("requests_used") > max_requests, "request_budget_exhausted").when(F.col("attempts_used") > max_attempts, "attempt_budget_exhausted").when(F.col("bytes_used") > max_bytes, "response_byte_budget_exhausted").when(late, "deadline_exhausted")
+    return rows.withColumn("exceeded", exceeded)
 
 
 def run_status(termination: Column, accepted: Column) -> Column:

@@ -267,7 +267,7 @@ def q_pagination_continuity(spark, d):
 @query("""
 WITH l AS (SELECT event_type, event_id // 100 AS seq, count(*)::BIGINT AS attempts, sum(length(props))::BIGINT AS bytes FROM events GROUP BY 1, 2),
 u AS (SELECT event_type, seq, count(*) OVER w::BIGINT AS requests_used, sum(attempts) OVER w::BIGINT AS attempts_used, sum(bytes) OVER w::BIGINT AS bytes_used FROM l WINDOW w AS (PARTITION BY event_type ORDER BY seq))
-SELECT event_type, seq, requests_used, attempts_used, bytes_used, CASE WHEN requests_used > 40 THEN 'request_budget_exhausted' WHEN attempts_used > 500 THEN 'attempt_budget_exhausted' WHEN bytes_used > 7000 THEN 'byte_budget_exhausted' END AS exceeded FROM u""")
+SELECT event_type, seq, requests_used, attempts_used, bytes_used, CASE WHEN requests_used > 40 THEN 'request_budget_exhausted' WHEN attempts_used > 500 THEN 'attempt_budget_exhausted' WHEN bytes_used > 7000 THEN 'response_byte_budget_exhausted' END AS exceeded FROM u""")
 def q_run_budget(spark, d):
     log = table(spark, d, "events").groupBy("event_type", F.floor(F.col("event_id") / 100).alias("seq")).agg(F.count(F.lit(1)).alias("attempts"), F.sum(F.length("props")).alias("bytes"))
     return qualify.run_budget(log, "seq", 40, 500, 7000, "event_type").select("event_type", "seq", "requests_used", "attempts_used", "bytes_used", "exceeded")
@@ -561,4 +561,4 @@ def q_stratum_rejections(spark, d):
     return results.rejections_by_stratum(o.select(F.concat(F.substring_index("o_orderpriority", "-", 1), F.lit(":"), "o_orderkey").alias("source_item_id"), F.col("o_orderstatus").alias("reason")), strata)
 
 
-from . import contract_queries  # noqa: E402, F401  its queries register themselves
+from . import contract_queries, evidence_queries, run_queries  # noqa: E402, F401  their queries register themselves

@@ -44,9 +44,12 @@ _SEED = 11
 
 def shingles(folded: Column, words: int) -> Column:
     """Sorted distinct hashes of the runs of ``words`` words of a text whose blanks are single."""
-    parts = F.filter(F.split(folded, " "), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(words)), " ")))
-    return F.array_sort(F.array_distinct(F.when(F.size(parts) > 0, runs)))
+    def runs(parts: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(words)), " ")))
+        return F.array_sort(F.array_distinct(F.when(F.size(parts) > 0, each)))
+
+    # the words are bound to a name, or each run would split the text anew
+    return F.get(F.transform(F.array(F.filter(F.split(folded, " "), lambda w: w != "")), runs), F.lit(0))
 
 
 def near_text_links(rows: DataFrame, id_col: str, text_col: str, part: int = 4, whole: int = 5, words: int = 5) -> DataFrame:

@@ -12,8 +12,8 @@ from .catalog import _FOLD, query, table
 WITH RECURSIVE f AS (SELECT doc_id, string_split({_FOLD}, ' ') AS w FROM documents WHERE {_FOLD} <> ''),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM f)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b USING (run) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * both >= 4 * (x.n + y.n)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (run) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * shared >= 4 * (x.n + y.n)),
 reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other)
 SELECT id AS doc_id, min(other) AS group_id FROM reach GROUP BY 1""")
 def q_near_text_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def q_near_text_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT event_id, event_type, ts, ts - lag(ts) OVER w > INTERVAL 20 MINUTES AS starts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
-s AS (SELECT *, count_if(starts) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM o)
+s AS (SELECT *, count_if(coalesce(starts, false)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM o)
 SELECT event_id, min(event_id) OVER (PARTITION BY event_type, burst) AS group_id FROM s""")
 def q_burst_groups(spark: SparkSession, d: str) -> DataFrame:
     """Events of one type that follow each other within twenty minutes."""

@@ -13,6 +13,8 @@ like are never content.
 
 Cases: a null or empty page, or one without content, has an empty text.  A page cut off within a
 tag, a reference or an element ends there.  An unclosed container ends where an article begins.
+Time and memory grow with a page's length, however deep it nests and whatever it leaves open; pages
+of any length are read whole, and those too large to learn from are still extracted.
 Without labelled pages the fixed lists and uniform scores decide.  Repeated rows get equal
 results.  An empty table gives an empty result.  Columns other than the id, url and html are not
 read.
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Largest number of labelled pages that weights are learned from.
-MAX_LABELLED = 600
+#: Largest number of labelled pages that weights are learned from, and code points of one of them.
+MAX_LABELLED, LARGEST_LABELLED = 600, 200_000
 SEED = 5
 #: Score of a word that nothing is known of, of a tag, what a unit of log odds adds to that, and its end.
 WORD_SCORE, TAG_SCORE, ODDS_SCORE, LEAST_TAG = 1.0, -0.1, -2.0, -12.0
@@ -44,7 +46,7 @@ FEW = 50
 #: Words from which on a run of text is of the next length.
 LENGTHS = (4, 30, 100)
 #: Elements whose text is never content.
-NEVER = frozenset("head title script style noscript template svg math iframe object canvas audio video form button select option textarea label input".split())
+NEVER = frozenset("head title script style noscript template svg iframe object canvas audio video form button select option textarea label input".split())
 #: Elements that commonly hold what is not content.
 ASIDE = frozenset("nav footer aside dialog menu".split())
 #: Elements that end a block of text.
@@ -64,15 +66,50 @@ _NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
-@dataclass
+class Node:
+    """An open element and, by its parents, those around it; what hangs on all of them is inherited."""
+
+    __slots__ = ("tag", "key", "parent", "never", "main", "article", "names", "out")
+
+    def __init__(self, key: str, parent: Node | None) -> None:
+        self.key, self.parent, self.tag = key, parent, key.split(" ", 1)[0]
+        self.never = self.tag in NEVER or bool(parent and parent.never)
+        self.main = key == "main" or bool(parent and parent.main)
+        self.article = self.tag == "article" or bool(parent and parent.article)
+        self.names: frozenset | None = None
+        self.out: tuple[bool, bool] | None = None
+
+    def all_names(self) -> frozenset:
+        """The names of this element and all around it."""
+        chain = _missing(self, "names")
+        for node in chain:
+            held = node.parent.names if node.parent else frozenset()
+            own = names_of(node.key)
+            node.names = held if held.issuperset(own) else held.union(own)
+        return self.names
+
+
+def _missing(node: Node, what: str) -> list[Node]:
+    """The node and those around it whose ``what`` isn't known yet, outermost first."""
+    chain = []
+    while node and getattr(node, what) is None:
+        chain.append(node)
+        node = node.parent
+    return chain[::-1]
+
+
+@dataclass(slots=True)
 class Token:
-    """A tag (``key``) or a run of text; ``within`` are the keys of the open elements around it."""
+    """A tag (``key``) or a run of text, in the open element ``within``."""
 
     key: str = ""
     text: str = ""
     block: bool = False
-    within: tuple = ()
-    article: bool = False
+    within: Node | None = None
+
+    @property
+    def article(self) -> bool:
+        return bool(self.within and self.within.article)
 
 
 def tag_key(tag: str, attributes: str) -> str:
@@ -80,18 +117,67 @@ def tag_key(tag: str, attributes: str) -> str:
     return " ".join([tag, *names])
 
 
+class _Open:
+    """The open elements.  Each is pushed and taken off once, however the page nests or closes them."""
+
+    def __init__(self) -> None:
+        self.stack: list[Node] = []
+        self.count: dict[str, int] = {}
+        self.removable: list[int] = []
+
+    @property
+    def top(self) -> Node | None:
+        return self.stack[-1] if self.stack else None
+
+    def push(self, key: str) -> None:
+        node = Node(key, self.top)
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+        if _gives_way(node):
+            self.removable.append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> Node:
+        node = self.stack.pop()
+        self.count[node.tag] -= 1
+        if self.removable and self.removable[-1] == len(self.stack):
+            self.removable.pop()
+        return node
+
+    def close(self, tag: str) -> Node | None:
+        """Take off the elements down to the last one of a tag, if there is one."""
+        if not self.count.get(tag):
+            return None
+        while (node := self.pop()).tag != tag:
+            pass
+        return node
+
+    def make_way(self) -> None:
+        """Take out what holds no article, from between the others."""
+        if not self.removable:
+            return
+        above = []
+        while len(self.stack) > self.removable[0]:
+            above.append(self.pop())
+            if not self.removable:
+                break
+        for node in reversed(above):
+            if not _gives_way(node):
+                self.push(node.key)
+
+
+def _gives_way(node: Node) -> bool:
+    return node.tag in NEVER or any(map(listed, names_of(node.key)))
+
+
 def tokens(page: str) -> Iterator[Token]:
-    """The page's tags and text runs in order, each with the open elements around it."""
-    at, n = 0, len(page)
-    stack: list[tuple[str, str]] = []
-    within: tuple = ()
-    article = 0
+    """The page's tags and text runs in order, each with the element it stands in."""
+    at, n, held = 0, len(page), _Open()
     while at < n:
         m = _TOKEN.search(page, at)
         start = m.start() if m else n
         if start > at:
             text = page[at:start]
-            yield Token(text=entities.unescape(text) if "&" in text else text, within=within, article=article > 0)
+            yield Token(text=entities.unescape(text) if "&" in text else text, within=held.top)
         if not m:
             return
         at = m.end()
@@ -100,24 +186,18 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         tag = tag.lower()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            key = stack[depth][1] if depth >= 0 else tag
-            if depth >= 0:
-                del stack[depth:]
-                within = tuple(k for _, k in stack)
-                article = sum(t == "article" for t, _ in stack)
-            yield Token(key="/" + key, block=tag in BLOCKS, within=within, article=article > 0)
+            closed = held.close(tag)
+            yield Token(key="/" + (closed.key if closed else tag), block=tag in BLOCKS, within=held.top)
             continue
         key = tag_key(tag, attributes)
+        within = held.top  # the tag itself stands in what was open before it
         if tag in ("article", "main"):  # no container of another kind holds an article
-            stack = [x for x in stack if x[0] not in NEVER and not any(map(listed, names_of(x[1])))]
-        if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1][0] == tag:
-            stack.pop()
-        yield Token(key=key, block=tag in BLOCKS, within=within, article=article > 0)
+            held.make_way()
+        if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and held.top and held.top.tag == tag:
+            held.pop()
+        yield Token(key=key, block=tag in BLOCKS, within=within)
         if tag not in _VOID and not attributes.endswith("/"):
-            stack.append((tag, key))
-            article += tag == "article"
-        within = tuple(k for _, k in stack)
+            held.push(key)
         if tag in _RAW and tag not in _VOID:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else n
@@ -147,10 +227,9 @@ def _boilerplate(name: str) -> bool:
     return not BOILERPLATE.isdisjoint(parts) and (name.lower() in BOILERPLATE or parts <= BOILERPLATE | NEUTRAL)
 
 
-def run_of(within: tuple, text: str) -> tuple[str, int]:
+def run_of(within: Node | None, words: int) -> tuple[str, int]:
     """What the score of a run's words hangs on: the element it stands in and its length."""
-    n = len(text.split())
-    return (within[-1].split(" ", 1)[0] if within else "", sum(n >= x for x in LENGTHS))
+    return (within.tag if within else "", sum(words >= x for x in LENGTHS))
 
 
 @dataclass
@@ -169,12 +248,16 @@ class Weights:
         """Whether an element of this name is no content."""
         return listed(name) or self.outside.get(name, 0) > MANY * (1 + self.inside.get(name, 0))
 
-    def dropped(self, within: tuple, article: bool) -> bool:
-        for key in within:
-            tag = key.split(" ", 1)[0]
-            if tag in NEVER or any(map(self.strange, names_of(key))) or tag == "header" and not article and "main" not in within and self.strange(tag):
-                return True
-        return False
+    def dropped(self, node: Node | None) -> bool:
+        """Whether what stands in an element is no content."""
+        if node is None:
+            return False
+        for x in _missing(node, "out"):
+            always = x.tag in NEVER or any(map(self.strange, names_of(x.key)))
+            held = x.parent.out if x.parent else (False, False)
+            # a header is one outside of articles and main parts only
+            x.out = (always or held[0] or x.tag == "header" and self.strange(x.tag), always or held[1])
+        return node.out[node.article or node.main]
 
 
 def learn(pages: list[str]) -> Weights:
@@ -188,14 +271,14 @@ def learn(pages: list[str]) -> Weights:
 
     for page in pages:
         for t in tokens(page):
-            if any(k.split(" ", 1)[0] in NEVER for k in t.within):
+            if t.within and t.within.never:
                 continue
             if t.key and not t.key.startswith("/"):
                 add(tags, t.key, t.article, 1)
             n = len(t.text.split())
             if n:
-                add(runs, run_of(t.within, t.text), t.article, n)
-                for name in {x for k in t.within for x in names_of(k)}:
+                add(runs, run_of(t.within, n), t.article, n)
+                for name in t.within.all_names() if t.within else ():
                     add(named, name, t.article, n)
     odds = lambda counts, k, sign: math.log((counts[sign].get(k, 0) + 1) / (counts[1 - sign].get(k, 0) + 1))
     score = {k: max(LEAST_TAG, TAG_SCORE + ODDS_SCORE * max(0.0, odds(tags, k, 0))) for k in tags[0] | tags[1]}
@@ -220,21 +303,27 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     sequence = list(tokens(page))
-    known: dict[tuple, bool] = {}
-    dropped = []
-    for t in sequence:
-        place = (t.within, t.article)
-        if place not in known:
-            known[place] = weights.dropped(*place)
-        dropped.append(known[place])
-    # what takes no part scores nothing, nor do the tags that open and close it; within an article
-    # the odds are for any word and tag, as labels are drawn by articles
-    scores = [
-        0.0 if out or t.key and weights.dropped((t.key.removeprefix("/"),), t.article) else
-        (TAG_SCORE if t.article else weights.of(t.key)) if t.key else
-        len(t.text.split()) * (WORD_SCORE if t.article else weights.word.get(run_of(t.within, t.text), WORD_SCORE))
-        for t, out in zip(sequence, dropped)
-    ]
+    dropped = [weights.dropped(t.within) for t in sequence]
+    bare: dict[tuple[str, bool], bool] = {}
+
+    def score(t: Token, out: bool) -> float:
+        """What takes no part scores nothing, nor do the tags that open and close it.
+
+        Within an article the odds are for any word and tag, as labels are drawn by articles.
+        """
+        if out:
+            return 0.0
+        if not t.key:
+            words = len(t.text.split())
+            return words * (WORD_SCORE if t.article else weights.word.get(run_of(t.within, words), WORD_SCORE))
+        place = (t.key.removeprefix("/"), t.article)
+        if place not in bare:
+            own = Node(place[0], None)
+            own.article = place[1]
+            bare[place] = weights.dropped(own)
+        return 0.0 if bare[place] else TAG_SCORE if t.article else weights.of(t.key)
+
+    scores = [score(t, out) for t, out in zip(sequence, dropped)]
     start, stop = best_region(scores)
     blocks, parts = [], []
     for t, out in zip(sequence[start:stop], dropped[start:stop]):
@@ -250,8 +339,8 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_labelled: int = MAX_LABELLED) -> Weights:
-    """Weights from at most ``max_labelled`` pages that mark one article, chosen by a hash of the page."""
-    marked = pages.where(F.col(html_col).cast("string").contains("<article")).select(F.col(html_col).cast("string").alias("html"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("place"))
+    """Weights from at most ``max_labelled`` pages that mark one article, none too large, chosen by a hash of the page."""
+    marked = pages.where(F.col(html_col).cast("string").contains("<article") & (F.length(F.col(html_col).cast("string")) <= LARGEST_LABELLED)).select(F.col(html_col).cast("string").alias("html"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("place"))
     rate = min(1.0, 0.9 * max_labelled / max(1, marked.count()))
     rows = marked.where(F.pmod("place", F.lit(1 << 20)) < rate * (1 << 20)).orderBy("place", "html").limit(max_labelled)
     return learn([r["html"] for r in rows.collect()])

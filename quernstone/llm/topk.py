@@ -18,8 +18,10 @@ Cases: a vector that is null or holds a null or non-finite component takes no pa
 candidate, nor does one with a null id.  Components and sums of any size are computed exactly; a
 score beyond a long counts as the long nearest to it.  Vectors of another length than a query's
 are no candidates of it: lengths are searched apart.  Equal scores go to the smaller id, then
-stand in any order for repeated rows; a query's own id is no candidate.  Fewer candidates than k
-give fewer rows.  An empty table gives an empty result.  Columns other than the id and the vector
+stand in any order for repeated rows; a query's own id is no candidate.  A query row that is
+repeated asks once.  An id that stands with several vectors is one query, answered by the best
+scores of all of them, so a candidate may stand once for each.  Fewer candidates than k give fewer
+rows.  An empty table gives an empty result.  Columns other than the id and the vector
 are not read.
 """
 
@@ -403,7 +405,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = K,
         return dealt.select("id", "x").mapInArrow(_pack(size, scale), _PACKED)
 
     chunks = materialise(packed(ordered, count, chunk).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    asked = packed(ordered.where(is_query(F.col("id"))), n_queries, queries).mapInArrow(_with_floors(shared, k), "width int, qkind string, qids binary, qmatrix binary, floors binary")
+    asked = packed(ordered.where(is_query(F.col("id"))).dropDuplicates(["id", "x"]), n_queries, queries)  # a repeated row asks once.mapInArrow(_with_floors(shared, k), "width int, qkind string, qids binary, qmatrix binary, floors binary")
     asked = materialise(asked, "query-batches")
     boxes = chunks.select("width", "chunk", "kind", "ids", "matrix").mapInArrow(_summarise, "width int, chunk long, box binary")
     # summaries stand together by the thousand; every batch of queries meets every such row of its width

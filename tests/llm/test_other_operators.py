@@ -238,3 +238,30 @@ def test_names_of_layouts_and_articles_drop_nothing(page):
     for name in ("sidebar", "comments-area", "site-footer", "cookie-notice", "adContainer", "comment-12"):
         assert extract.main_text(page.format(f"{text}<div class='x {name}'>other words</div>"), extract.Weights()) == text
     assert extract.main_text("<article class='comment even'>words</article>", extract.Weights()) == ""
+
+
+def test_extraction_is_linear_in_unclosed_and_unmatched_tags():
+    import time
+
+    weights = extract.learn([PAGE])
+    for page in ("<div><b>" * 50_000 + "some words", "<div>" * 50_000 + "</b>" * 50_000, "<nav><article>" * 50_000 + "x", "".join(f"<div class=c{i}>w " for i in range(30_000))):
+        began = time.process_time()
+        extract.main_text(page, weights)
+        assert time.process_time() - began < 5 * 3  # seconds, on a busy machine
+
+
+def test_formulas_stay_in_their_paragraph():
+    assert extract.main_text("<article><p>Let <math><mi>x</mi></math> be</p></article>", extract.Weights()) == "Let x be"
+
+
+def test_repeated_queries_are_answered_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).round(2).tolist()) for i in range(60)]
+    rows += [rows[20], rows[20], (40, [1.0] * 6)]  # a query that stands three times, and one of two vectors
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    x = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    for query in (0, 20, 40):
+        asked = {tuple(v.tolist()) for i, v in x if i == query}
+        scores = sorted(((-int(np.dot(q, v)), i) for q in asked for i, v in x if i != query))[:20]
+        got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == query)
+        assert [(-s, i) for _, i, s in got] == scores and [r for r, _, _ in got] == list(range(1, 21))

@@ -405,7 +405,8 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = K,
         return dealt.select("id", "x").mapInArrow(_pack(size, scale), _PACKED)
 
     chunks = materialise(packed(ordered, count, chunk).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    asked = packed(ordered.where(is_query(F.col("id"))).dropDuplicates(["id", "x"]), n_queries, queries)  # a repeated row asks once.mapInArrow(_with_floors(shared, k), "width int, qkind string, qids binary, qmatrix binary, floors binary")
+    asking = ordered.where(is_query(F.col("id"))).dropDuplicates(["id", "x"])  # a repeated row asks once
+    asked = packed(asking, n_queries, queries).mapInArrow(_with_floors(shared, k), "width int, qkind string, qids binary, qmatrix binary, floors binary")
     asked = materialise(asked, "query-batches")
     boxes = chunks.select("width", "chunk", "kind", "ids", "matrix").mapInArrow(_summarise, "width int, chunk long, box binary")
     # summaries stand together by the thousand; every batch of queries meets every such row of its width

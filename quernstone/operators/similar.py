@@ -1,21 +1,24 @@
 """Near-identical texts: an exact join of shingle sets.
 
 Two texts are near-identical where the Jaccard similarity of their sets of word shingles is at least
-``part / whole``.  A set holds 64-bit hashes of runs of ``words`` words of the folded text; a shorter
-text is one run, and a text without words has no set and no link.
+``part / whole``.  A set holds 64-bit hashes of runs of ``words`` words of the folded text, mixed from
+hashes of the words; a shorter text is one run, and a text without words has no set and no link.
 
 The join loses no link between different sets and is no comparison of all pairs:
 
 * Equal sets are one: each further row is linked to the least id of its set.
 * Rows with a common least hash, for a few hash functions, are put in a range-partitioned order, and
-  neighbours are compared.  That connects large groups of near copies by few comparisons.  It only
-  saves work: what it misses is found below.
+  neighbours whose sizes and signatures are alike are compared.  That connects large groups of near
+  copies by few comparisons.  It only saves work: what it misses is found below.
 * Prefix filter: sets that are similar enough share one of their first ``n - ceil(n part / whole) + 1``
   shingles, in any order that holds for all sets; common shingles come last in ours.  Rows of one
   shingle that the neighbours have not connected yet are paired, if their sizes and the places of
   the shingle allow the similarity, and compared.  The rows of a common shingle are cut into
   chunks, each pair of chunks met on its own, so no task holds them all.
 
+What moves is a few numbers for each prefix shingle, and the sets of rows to be compared.  Only the
+links are left when it returns; its other tables are deleted.
+
 Cases: a row without an id takes no part.  Rows that share an id are one node with several sets.  An
 empty table has no links.  Columns other than the id and the text are not read.
 """
@@ -26,84 +29,118 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import text as texts
 from .opportunity import components
 
-#: Hash functions whose least values order rows for the comparison of neighbours.
-ORDERS = 3
-#: Prefix rows beyond which a shingle is common, common shingles that are known, and rounds to find them.
+#: Hash functions whose least values order rows for the comparison of neighbours, values of a signature, and how many of these must agree.
+ORDERS, SIGNED, AGREEING = 2, 12, 7
+#: Rows beyond which a prefix shingle is common, common shingles that are known, and rounds to find them.
 COMMON, MOST_COMMON, ROUNDS = 64, 200_000, 2
 #: Rows of one shingle that are paired at once, and ids that are sent to every task.
 CHUNK, SENT = 512, 1_000_000
 _SEED = 11
 
 
-def shingles(folded: Column, words: int) -> Column:
-    """Sorted distinct hashes of the runs of ``words`` words of a text whose blanks are single."""
-    def runs(parts: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(words)), " ")))
-        return F.array_sort(F.array_distinct(F.when(F.size(parts) > 0, each)))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingles(folded: str, words: int, known: dict[str, int]) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words of a text whose blanks are single; ``known`` keeps words' hashes."""
+    parts = folded.split()
+    for word in set(parts).difference(known):
+        known[word] = xxhash.xxh64_intdigest(word.encode(), _SEED)
+    hashes = np.fromiter((known[w] for w in parts), np.uint64, len(parts))
+    runs = max(1, len(hashes) - words + 1) if len(hashes) else 0
+    out = np.zeros(runs, np.uint64)
+    for at in range(min(words, len(hashes))):
+        out = _mixed(out + hashes[at : at + runs])
+    return np.unique(out).view(np.int64)
+
+
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """(id, s, key) of the rows (id, t) that have a word; equal sets share a key."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t or "", words, known) for t in part.column(1).to_pylist()]
+                if len(known) > 1_000_000:
+                    known.clear()
+                some = pa.array([len(s) > 0 for s in sets])
+                sets = [s for s in sets if len(s)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                keys = [f"{len(s)}:{xxhash.xxh3_128_hexdigest(s.tobytes())}" for s in sets]
+                whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(some), whole, pa.array(keys, pa.string())], names=["id", "s", "key"])
 
-    # the words are bound to a name, or each run would split the text anew
-    return F.get(F.transform(F.array(F.filter(F.split(folded, " "), lambda w: w != "")), runs), F.lit(0))
+    return rows.mapInArrow(run, f"id {kind}, s array<long>, key string")
 
 
 def near_text_links(rows: DataFrame, id_col: str, text_col: str, part: int = 4, whole: int = 5, words: int = 5) -> DataFrame:
     """Links (a, b) that connect exactly the ids whose texts are near-identical, directly or by others."""
     folded = texts.folded_nfkc(F.col(text_col).cast("string"))
-    sets = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), folded.alias("t")).select("id", shingles(F.col("t"), words).alias("s")).where("s IS NOT NULL")
-    key = F.concat_ws(":", F.size("s").cast("string"), F.xxhash64("s").cast("string"), F.xxhash64(F.lit(_SEED), "s").cast("string"))
-    keys = tables.written(sets.select("id", key.alias("key")), "set-keys")
+    sets = _sets(rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), folded.alias("t")), words)
+    keys = tables.written(sets.select("id", "key"), "set-keys")
     first = keys.groupBy("key").agg(F.min("id").alias("b"))
     copies = tables.written(keys.join(first, "key").where("id <> b").select("id", "key", "b").distinct(), "set-copies")
-    kept = tables.written(_joined(sets.withColumn("key", key), copies.select("id", "key").distinct(), ["id", "key"], "left_anti").select("id", F.size("s").alias("n"), "s"), "sets")
-    near = _verified(tables.written(_neighbours(kept), "neighbours"), kept, part, whole)
-    near = tables.written(near, "near-links")
-    groups = components(near)
-    prefix = tables.written(_grouped(_prefixes(kept, _common(kept, part, whole), part, whole), groups), "prefixes")
-    far = _verified(tables.written(_pairs(prefix, part, whole), "prefix-pairs"), kept, part, whole)
+    kept = tables.written(_joined(sets, copies.select("id", "key").distinct(), ["id", "key"], "left_anti").select("id", F.size("s").alias("n"), "s"), "sets")
+    tables.drop(keys)
+    near = tables.written(_verified(tables.written(_neighbours(kept, part, whole), "neighbours"), kept, part, whole), "near-links")
+    groups = tables.written(components(near), "near-groups")
+    prefix, several = _shared_prefixes(kept, groups, part, whole)
+    pairs = tables.written(_pairs(prefix, part, whole), "prefix-pairs")
+    far = tables.written(_verified(pairs, kept, part, whole), "far-links")
+    for done in (kept, groups, several, pairs):
+        tables.drop(done)
     return copies.select(F.col("id").alias("a"), "b").unionByName(near).unionByName(far)
 
 
 def _joined(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    """A semi or anti join; ``ids`` are sent to every task if they are few."""
+    """A semi, anti or left join; what is joined is sent to every task if it has few rows."""
     return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, on, how)
 
 
-def _neighbours(kept: DataFrame) -> DataFrame:
-    """Pairs of rows that share a least hash and stand beside each other."""
+def _neighbours(kept: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs of rows that share a least hash, stand beside each other, and look alike."""
     rng = np.random.default_rng(_SEED)
-    odd, plus = (rng.integers(0, 1 << 63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    odd = rng.integers(0, 1 << 63, SIGNED, np.uint64) * np.uint64(2) + np.uint64(1)
     kind = kept.schema["id"].dataType.simpleString()
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            column = batch.column(1)
+            column = batch.column(2)
             values, starts = column.flatten().to_numpy().view(np.uint64), np.asarray(column.offsets)[:-1] - column.offsets[0].as_py()
-            for a, b in zip(odd, plus):
-                mixed = values * a + b
-                mixed ^= mixed >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((np.minimum.reduceat(mixed * a, starts) ^ b).view(np.int64))], names=["id", "low"])
+            lows = np.stack([np.minimum.reduceat(_mixed(values * a), starts) for a in odd], 1)
+            signed = pa.array([row.tobytes() for row in lows.astype(np.uint16)], pa.binary())
+            for at in range(ORDERS):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lows[:, at].view(np.int64)), signed], names=["id", "n", "low", "signed"])
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not len(batch):
                 continue
-            ids, lows = batch.column(0), batch.column(1)
-            if last is not None:
-                ids, lows = pa.concat_arrays([last[0], ids]), pa.concat_arrays([last[1], lows])
-            equal = pa.array(np.diff(lows.to_numpy()) == 0)
-            yield pa.RecordBatch.from_arrays([ids[1:].filter(equal), ids[:-1].filter(equal)], names=["a", "b"])
-            last = ids[-1:], lows[-1:]
-
-    lows = kept.select("id", "s").mapInArrow(least, f"id {kind}, low long").distinct()
+            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            last = batch.slice(len(batch) - 1)
+            n, low = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "low"))
+            signed = np.frombuffer(b"".join(table.column("signed").to_pylist()), np.uint16).reshape(-1, SIGNED)
+            near = (np.diff(low) == 0) & (np.minimum(n[1:], n[:-1]) * whole >= np.maximum(n[1:], n[:-1]) * part) & ((signed[1:] == signed[:-1]).sum(1) >= AGREEING)
+            ids = table.column("id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids[1:].filter(pa.array(near)), ids[:-1].filter(pa.array(near))], names=["a", "b"])
+
+    lows = kept.select("id", "n", "s").mapInArrow(least, f"id {kind}, n int, low long, signed binary")
     order = ["low", F.xxhash64("low", "id"), "id"]  # a common value is dealt to many ranges
     found = lows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(beside, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -118,24 +155,31 @@ def _verified(pairs: DataFrame, kept: DataFrame, part: int, whole: int) -> DataF
     return pairs.join(one("a"), "a").join(one("b"), "b").where(common * (part + whole) >= (F.col("n_a") + F.col("n_b")) * part).select("a", "b").distinct()
 
 
-def _common(kept: DataFrame, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many rows have among their first, and their counts; the commonest where they are too many."""
-    known: dict[int, int] = {}
-    for _ in range(ROUNDS):  # what comes first once the common ones stand last may be common too
-        many = _prefixes(kept, _arrays(known), part, whole).groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > COMMON)
-        found = many.orderBy(F.col("rows").desc(), "token").limit(MOST_COMMON).collect()
-        known |= {r["token"]: max(r["rows"], known.get(r["token"], 0)) for r in found}
-    return _arrays(known)
-
-
-def _arrays(known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    tokens = np.array(sorted(known), np.int64)
-    return tokens, np.array([known[int(t)] for t in tokens], np.int64)
-
-
-def _prefixes(kept: DataFrame, common: tuple[np.ndarray, np.ndarray], part: int, whole: int) -> DataFrame:
+def _shared_prefixes(kept: DataFrame, groups: DataFrame, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows, with their id's group, of the shingles that several groups share; and a table of these shingles with their rows.
+
+    A shingle that many rows have among their first is common: it stands last from the next round on.
+    What comes first then may be common too, so there are a few rounds.
+    """
+    roots = groups.select(F.col("node").alias("id"), "root")
+    common: dict[int, int] = {}
+    for left in range(ROUNDS, -1, -1):
+        prefix = _joined(_prefixes(kept, common, part, whole), roots, ["id"], "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+        several = prefix.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").select("token", "rows")
+        several = tables.written(several, "shared-shingles")
+        many = several.where(F.col("rows") > COMMON).orderBy(F.col("rows").desc(), "token").limit(MOST_COMMON - len(common)).collect() if left else []
+        found = {r["token"]: r["rows"] for r in many if r["token"] not in common}
+        if not found:
+            return _joined(prefix, several, ["token"], "inner"), several
+        common |= found
+        tables.drop(several)
+    raise AssertionError("the last round finds nothing")
+
+
+def _prefixes(kept: DataFrame, common: dict[int, int], part: int, whole: int) -> DataFrame:
     """(token, id, n, place) for the first shingles of each row, common ones standing last; places from 1."""
-    kind, shared = kept.schema["id"].dataType.simpleString(), kept.sparkSession.sparkContext.broadcast(common)
+    known = np.array(sorted(common), np.int64)
+    kind, shared = kept.schema["id"].dataType.simpleString(), kept.sparkSession.sparkContext.broadcast((known, np.array([common[int(t)] for t in known], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
@@ -148,7 +192,7 @@ def _prefixes(kept: DataFrame, common: tuple[np.ndarray, np.ndarray], part: int,
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
                     rank = np.where(tokens[at] == values, counts[at], 0)
-                    values = values[np.lexsort((values, rank))]  # the hash decides between equal ones
+                    values = values[np.argsort(rank, kind="stable")]  # sets are sorted: the hash decides between equal ones
                 columns[0].append(values[:first])
                 columns[1].append(np.full(first, n, np.int32))
                 columns[2].append(np.arange(1, first + 1, dtype=np.int32))
@@ -160,14 +204,6 @@ def _prefixes(kept: DataFrame, common: tuple[np.ndarray, np.ndarray], part: int,
     return kept.select("id", "s").mapInArrow(run, f"token long, id {kind}, n int, place int")
 
 
-def _grouped(prefix: DataFrame, groups: DataFrame) -> DataFrame:
-    """Prefix rows with the group of their id, of shingles that several groups share."""
-    both = prefix.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
-    both = tables.written(both, "prefix-rows")
-    several = both.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").select("token", "rows")
-    return both.join(several, "token")
-
-
 def _pairs(prefix: DataFrame, part: int, whole: int) -> DataFrame:
     """Pairs of ids of different groups that share a prefix shingle and can be similar enough."""
     chunks = F.ceil(F.col("rows") / CHUNK).cast("int")

@@ -56,7 +56,7 @@ def made(rng):
     return rows + [(None, rows[0][1]), (1000, None), (1001, ""), (1002, " \n"), (3, rows[70][1]), (1003, "one two"), (1004, "One  two"), (1005, "x " * 20_000)]
 
 
-@pytest.mark.parametrize(("chunk", "common", "orders"), [(512, 64, 3), (4, 2, 1)])
+@pytest.mark.parametrize(("chunk", "common", "orders"), [(512, 64, 2), (4, 2, 1)])
 def test_links_equal_brute_force(spark, monkeypatch, chunk, common, orders):
     monkeypatch.setattr(similar, "CHUNK", chunk)
     monkeypatch.setattr(similar, "COMMON", common)

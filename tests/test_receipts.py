@@ -1,79 +1,14 @@
-import copy
-import hashlib
 import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.operators import receipts as rules_over_rows
 from quernstone.operators import results
 from quernstone.plans import receipts
 
-HASHES = {k: c * 64 for k, c in zip(receipts.HASHES, "abc")}
-RUN = {"run_id": "r", "run_sequence": 1, "started_at": "2024-01-01T00:00:00Z", "finished_at": "2024-01-01T00:01:00Z", "elapsed_ms": 1}
-STRATUM = {"fetched": 50, "processed": 45, "accepted": 40, "rejected": 5, "rejection_reason_counts": {"short_text": 5}, "procedure_completeness": 1, "buyer_completeness": 0.9, "text_completeness": 0.8, "acceptance_yield": 0.8, "capacity_pass": True}
-TRANSPORT = {"logical_requests": 4, "max_logical_requests": 12, "http_attempts": 5, "max_http_attempts": 24, "retries": 1, "response_bytes": 9, "max_response_bytes": 99, "deadline_seconds": 60, "deadline_exhausted": False}
-PAGES = {"pages_observed": 4, "unique_page_signatures": 4, "repeated_page_signatures": 0}
-
-
-def capacity(**changes):
-    strata = {s: copy.deepcopy(STRATUM) for s in receipts.STRATA}
-    strata[receipts.STRATA[0]] |= changes
-    return receipts.capacity_receipt(RUN, HASHES, 38, strata, TRANSPORT, PAGES)
-
-
-def test_capacity_receipt_is_recomputed():
-    good = capacity()
-    assert good["status"] == "PASS" and receipts.capacity_errors(good, HASHES) == [] and receipts.capacity_gate(good, HASHES) == []
-    first = receipts.STRATA[0]
-    for key, value in (("accepted", 37), ("processed", 301), ("procedure_completeness", 0.94), ("buyer_completeness", 0.7), ("text_completeness", float("nan")), ("acceptance_yield", 0.2)):
-        bad = capacity(**{key: value})
-        assert bad["status"] == "FAIL" and f"{first}: stored verdict differs" in receipts.capacity_errors(bad, HASHES)
-        assert "the capacity run is no PASS" in receipts.capacity_gate(bad, HASHES)
-    for part, key, value, message in (
-        ("transport", "deadline_exhausted", True, "a PASS exceeds a budget"), ("transport", "response_bytes", 100, "a PASS exceeds a budget"), ("transport", "retries", 9, "transport doesn't add up"), ("pagination", "repeated_page_signatures", 1, "a PASS has repeated pages"),
-        ("pagination", "pages_observed", 5, "pages don't add up"),
-    ):
-        bad = copy.deepcopy(good)
-        bad[part][key] = value
-        assert message in receipts.capacity_errors(bad, HASHES)
-    assert "compliance_hash: mismatch" in receipts.capacity_errors(good, HASHES | {"compliance_hash": "x"})
-    assert receipts.capacity_errors(good | {"termination_reason": "quality_threshold_failed"}, HASHES) == ["a PASS ends with capacity_reached"]
-    assert receipts.capacity_errors(good | {"status": "FAIL"}, HASHES) == ["a FAIL can't end with capacity_reached"]
-
-
-def queries():
-    return [{"stratum": s, "query": f"q {s}", "query_sha256": hashlib.sha256(s.encode()).hexdigest()} for s in receipts.STRATA]
-
-
-def answer(error=None, attempts=1, size=10):
-    return lambda query, left: {"error_code": error, "http_attempts": attempts, "retries": attempts - 1, "response_bytes": size}
-
-
-def test_query_validation_stops_at_the_first_failure():
-    found = receipts.validate_queries(queries(), answer())
-    receipt = receipts.query_receipt(found, RUN, HASHES)
-    assert found["status"] == "PASS" and receipts.query_gate(receipt, HASHES, queries()) == []
-    failed = receipts.validate_queries(queries(), lambda q, left: answer("bad_query" if "business" in q else None)(q, left))
-    assert (failed["status"], failed["termination_reason"], len(failed["strata"])) == ("FAIL", "bad_query", 2)
-    assert "the query check is no PASS" in receipts.query_gate(receipts.query_receipt(failed, RUN, HASHES), HASHES, queries())
-    assert receipts.validate_queries(queries(), answer(attempts=3))["termination_reason"] == "http_attempts_budget_exhausted"
-    assert receipts.validate_queries(queries(), answer(size=3_000_000))["termination_reason"] == "response_bytes_budget_exhausted"
-    times = iter(range(0, 1000, 20))
-    assert receipts.validate_queries(queries(), answer(), clock=lambda: next(times))["termination_reason"] == "deadline_exhausted"
-    other = queries()
-    other[0]["query_sha256"] = "0" * 64
-    assert "the query check was of other queries" in receipts.query_gate(receipt, HASHES, other)
-    assert "a PASS needs every stratum valid" in receipts.query_errors(receipt | {"strata": receipt["strata"][:3]}, HASHES, receipt["query_set_sha256"])
-    assert "request contract: mismatch" in receipts.query_errors(receipt | {"request_contract": {}}, HASHES, receipt["query_set_sha256"])
-    strata = [{"name": s} for s in receipts.STRATA]
-    assert [q["stratum"] for q, _ in receipts.by_stratum(queries(), strata)] == list(receipts.STRATA)
-    with pytest.raises(ValueError):
-        receipts.by_stratum(queries(), strata[:3])
-
-
 def test_bindings():
-    assert receipts.required_capacity(25, 1.5) == 38
     manifest = {k: 1 for k in receipts.CONTRACT_KEYS}
     assert receipts.query_contract_sha256(manifest | {"more": 1}) == receipts.query_contract_sha256(manifest) != receipts.query_contract_sha256(manifest | {"api": 2})
     run = {"run_id": "r", "dataset_sha256": "d"}
@@ -128,3 +63,27 @@ def test_result_invariants(spark):
     assert "error_message" not in report.columns and [tuple(x) for x in one.accepted_references] == [("1", "u", "2024", "f")] and one.transport_events[0].category == "timeout"
     counts = results.rejections_by_stratum(spark.createDataFrame([("a:1", "short"), ("a:2", "short"), ("b:1", "odd")], "source_item_id string, reason string"), spark.createDataFrame([("a",), ("c",)], "stratum string"))
     assert sorted(map(tuple, counts.collect()), key=str) == [("a", "short", 2), ("c", None, 0)]
+
+
+COUNTS = {"fetched": 50, "processed": 45, "accepted": 40, "rejected": 5, "reasons": {"short_text": 5}, "procedure_completeness": 1.0, "buyer_completeness": 0.9, "text_completeness": 0.8, "acceptance_yield": 0.88, "capacity_pass": True}
+SPENT = {"run_id": "r", "logical_requests": 4, "max_logical_requests": 12, "http_attempts": 5, "max_http_attempts": 24, "retries": 1, "response_bytes": 9, "max_response_bytes": 99, "deadline_seconds": 60.0, "deadline_exhausted": False, "pages_observed": 4, "unique_page_signatures": 4, "repeated_page_signatures": 0, "retained_items": 0, "status": "PASS", "termination_reason": "capacity_reached"}
+
+
+def broken(spark, spent=(), strata=("a", "b"), **counts):
+    rows = [{"run_id": "r", "stratum": s} | COUNTS | (counts if s == "a" else {}) for s in strata]
+    schema = "run_id string, stratum string, " + ", ".join(f"{k} {'map<string,bigint>' if k == 'reasons' else 'boolean' if k == 'capacity_pass' else 'double' if '_' in k else 'bigint'}" for k in COUNTS)
+    totals = SPENT | dict(spent)
+    kinds = ", ".join(f"{k} {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'double' if isinstance(v, float) else 'bigint'}" for k, v in SPENT.items())
+    found = rules_over_rows.contradictions(spark.createDataFrame([tuple(totals[k] for k in SPENT)], kinds), spark.createDataFrame([tuple(r.values()) for r in rows], schema), ["a", "b"], 38)
+    return sorted((r.subject, r.rule) for r in found.collect())
+
+
+def test_stored_verdicts_are_held_against_their_counts(spark):
+    assert broken(spark) == []
+    for key, value in (("accepted", 37), ("processed", 301), ("procedure_completeness", 0.94), ("acceptance_yield", float("nan")), ("text_completeness", None)):
+        assert ("a", "verdict") in broken(spark, **{key: value})
+    assert broken(spark, capacity_pass=False, accepted=10, rejected=35, reasons={"x": 35}) == [("run", "a PASS has its strata")]
+    assert broken(spark, reasons={"x": 4}) == [("a", "counts")] == broken(spark, rejected=None)
+    assert broken(spark, strata=("a",)) == [("run", "strata")] == broken(spark, strata=("a", "a", "b"))[-1:]
+    for key, value, rule in (("retries", 9, "transport"), ("response_bytes", 100, "a PASS keeps its budgets"), ("deadline_exhausted", True, "a PASS keeps its budgets"), ("pages_observed", 5, "pages"), ("retained_items", 1, "nothing is kept"), ("termination_reason", "quota_unmet", "verdict"), ("status", "FAIL", "verdict"), ("http_attempts", None, "transport")):
+        assert ("run", rule) in broken(spark, {key: value})

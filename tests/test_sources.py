@@ -24,7 +24,7 @@ def test_paged_source(spark):
     read = lambda **o: spark.read.format("paged").options(transport="tests.test_sources:transport", strata=json.dumps(["a", "b", "down"]), **o).load()
     rows = read().collect()
     assert sum(r.payload is not None for r in rows) == 12
-    assert {r.stratum: r.termination for r in rows if r.termination} == {"a": "source_exhausted", "b": "source_exhausted", "down": "transport_failure"}
+    assert {r.stratum: r.termination for r in rows if r.termination} == {"a": "source_exhausted", "b": "source_exhausted", "down": "transport_error"}
     few = read(requests="1").collect()
     assert {r.stratum: r.termination for r in few if r.termination}["a"] == "request_budget_exhausted"
     assert [paged.pause(n, paged.Budget(), None) for n in (1, 2, 3, 4, 5)] == [1, 2, 4, 8, 8] and paged.pause(1, paged.Budget(), 3) == 3

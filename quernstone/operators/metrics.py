@@ -84,3 +84,9 @@ def primary_sources(candidates: DataFrame, order: str, limit: int = 3) -> DataFr
 def completeness(rows: DataFrame, conditions: dict[str, Column], *by: str) -> DataFrame:
     """Share of rows that meet each condition."""
     return rows.groupBy(*by).agg(*[F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in conditions.items()], F.count(F.lit(1)).alias("n_rows"))
+
+
+def selection_succeeded(selected: DataFrame, limit: int = 3) -> DataFrame:
+    """One row over the rows of ``primary_sources``: how many stand first, how many may step in, and whether enough were found."""
+    n = lambda role: F.count_if(F.col("role") == role)
+    return selected.agg(n("primary").alias("n_primary"), n("fallback").alias("n_fallback"), (n("primary") == limit).alias("success"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,6 +90,45 @@ def pagination(pages: DataFrame, by: str, page: str = "page", signature: str = "
     )
 
 
+def pagination_totals(strata: DataFrame) -> DataFrame:
+    """One row over the strata of ``pagination``: sums, and whether any stratum repeats or skips pages."""
+    counts = ("pages", "unique_pages", "repeated_pages", "gaps", "total_changes")
+    return strata.agg(F.count(F.lit(1)).alias("n_strata"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], F.coalesce(F.bool_or((F.col("repeated_pages") > 0) | (F.col("gaps") > 0)), F.lit(False)).alias("broken"))
+
+
+def observed(rows: DataFrame, by: str, strata: list[str], measures: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``rows`` whose next action also counts where each of ``measures`` holds, for each stratum and in all.
+
+    The counts come with the one job that writes or aggregates the rows, and keep none of them: see
+    ``counters``.  Rows of other strata count in the totals alone.
+    """
+    seen = Observation()
+    every = {"rows": F.lit(True)} | measures
+    exprs = [F.count_if(F.coalesce(m, F.lit(False))).alias(f"all:{name}") for name, m in every.items()]
+    exprs += [F.count_if(F.coalesce(m & (F.col(by) == s), F.lit(False))).alias(f"{n}:{name}") for n, s in enumerate(strata) for name, m in every.items()]
+    return rows.observe(seen, *exprs), seen
+
+
+def counters(seen: Observation, strata: list[str]) -> dict[str | None, dict[str, int]]:
+    """What ``observed`` has counted, by stratum; the totals stand under None.  It waits for the action."""
+    found: dict[str | None, dict[str, int]] = {s: {} for s in (*strata, None)}
+    for key, value in seen.get.items():
+        place, name = key.split(":", 1)
+        found[None if place == "all" else strata[int(place)]][name] = value
+    return found
+
+
+def capacity_probe(rows: DataFrame, by: str, strata: list[str], required: int) -> dict:
+    """A capacity report from one job over ``rows`` (accepted is null where unprocessed), which are not kept anywhere."""
+    done = F.col("accepted").isNotNull()
+    watched, seen = observed(rows, by, strata, {"processed": done, "accepted": done & F.col("accepted"), "rejected": done & ~F.col("accepted")})
+    watched.write.format("noop").mode("overwrite").save()
+    found = counters(seen, strata)
+    total = found.pop(None)
+    whole = sum(x["rows"] for x in found.values()) == total["rows"]
+    return {"strata": found, "totals": total, "capacity_pass": whole and all(x["accepted"] >= required for x in found.values()), "retained_items": 0}
+
+
 def run_budget(log: DataFrame, order: str, max_requests: int, max_attempts: int, max_bytes: int, run: str = "run_id", max_millis: int | None = None) -> DataFrame:
     """A request log with what each run has spent so far and the first budget that is then exceeded.
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.operators import qualify, runs
+from quernstone.operators import metrics, qualify, runs
+from quernstone.operators.select import segment_counters
 from quernstone.schemas import TERMINATIONS
 
 LOG = "run_id long, stratum int, page int, accepted long, attempts long, bytes long, millis long, error string, has_more boolean, quota_remaining long, private boolean, events long, extra string"
@@ -99,3 +100,24 @@ def test_budgets_are_exceeded_in_order(spark):
     found = {r.seq: r.exceeded for r in qualify.run_budget(log, "seq", 5, 9, 100, max_millis=3000).collect()}
     assert found == {1: None, 2: None, 3: "deadline_exhausted", 4: "deadline_exhausted", 5: "attempt_budget_exhausted", 6: "request_budget_exhausted"}
     assert {r.exceeded for r in qualify.run_budget(log, "seq", 9, 99, 35).collect()} == {None, "response_byte_budget_exhausted"}
+
+
+def test_a_capacity_report_takes_one_job(spark):
+    rows = spark.range(0, 1000, 1, 4).select(F.when(F.col("id") % 10 == 0, "c").when(F.col("id") % 3 == 0, "a").otherwise("b").alias("stratum"), F.when(F.col("id") % 7 > 0, F.col("id") % 2 == 0).alias("accepted"))
+    spark.sparkContext.setJobGroup("probe", "probe")
+    try:
+        report = qualify.capacity_probe(rows, "stratum", ["a", "b", "c"], 50)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("probe")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plain = {r.stratum: {"rows": r.fetched, "processed": r.processed, "accepted": r.accepted, "rejected": r.rejected} for r in segment_counters(rows, "stratum").collect()}
+    assert len(jobs) == 1 and report["strata"] == plain and report["totals"] == {k: sum(x[k] for x in plain.values()) for k in plain["a"]} and report["capacity_pass"]
+    assert not qualify.capacity_probe(rows, "stratum", ["a", "b"], 50)["capacity_pass"] and not qualify.capacity_probe(rows.where("false"), "stratum", ["a"], 1)["capacity_pass"]
+
+
+def test_totals_over_strata(spark):
+    pages = spark.createDataFrame([("a", 1, "x", 5), ("a", 2, "y", 5), ("b", 1, "z", 5), ("b", 3, "z", 6)], "s string, page int, signature string, total int")
+    found = qualify.pagination_totals(qualify.pagination(pages, "s")).first()
+    assert tuple(found) == (2, 4, 3, 1, 1, 1, True) and tuple(qualify.pagination_totals(qualify.pagination(pages.where("false"), "s")).first()) == (0, 0, 0, 0, 0, 0, False)
+    sources = spark.createDataFrame([(f"s{i}", i / 10, "pass" if i > 5 else "provisional") for i in range(9)], "source string, score double, eligibility string")
+    assert tuple(metrics.selection_succeeded(metrics.primary_sources(sources, "source")).first()) == (3, 6, True) and not metrics.selection_succeeded(metrics.primary_sources(sources.where("score < 0.7"), "source")).first().success

@@ -1,25 +1,29 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions alone.
 
-A paragraph is a line of a text, or where no line holds a notice alone, a run of at most ``WRAPPED``
-adjoining lines that holds it wrapped, named by the line it starts in.  A multinomial logistic regression with an elastic net over
-binary word n-grams (one to three words) tells licence families from each other and from
-``unknown``.  It is trained on variants of the families' notices against ordinary paragraphs: a
-bounded sample of the corpus and some that speak of licences without granting one.  Its
-probabilities are tempered on variants and paragraphs held out, and a paragraph stays unknown
-below the probability that hardly any held-out ordinary paragraph reaches.  A prediction counts
-once a template of the predicted family is found in the paragraph.
+A paragraph is a line of a text, or a block: all adjoining lines up to one without a word, joined
+whatever their number, which holds notices that are wrapped.  A multinomial logistic regression with
+an elastic net over binary word n-grams (one to three words) tells licence families from each other
+and from ``unknown``.  It is trained on variants of the families' notices, and of plain sentences
+that name them, against ordinary paragraphs: a bounded sample of the corpus and some that speak of
+licences without granting one.  Its probabilities are tempered on variants and paragraphs held out,
+and a line stays unknown below the probability that hardly any held-out ordinary paragraph reaches;
+a block is of every family whose odds against ``unknown`` reach it.  A prediction counts once a
+template of the predicted family is found in the paragraph.  A block's finding is named by the
+block's first line, and left out where one of its lines has one of the family alone.
 
 Weights are looked up in constant tables by hash, so a scan is one projection over the texts: no
 join, no shuffle, and no hot key.
 
 Cases: a null or empty text has no finding.  Repeated rows get equal results.  Several notices of
-one family in a text count one by one, and the family once.  An empty table gives an empty
-result, and a model trained on the notices alone.  Columns other than the id and the text are not
+one family in a text count one by one, in one block once if they are wrapped, and the family once.
+Texts and lines of any length are scanned whole.  An empty table gives an empty result, and a model
+trained on the notices alone.  Columns other than the id and the text are not
 read.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -34,10 +38,8 @@ from pyspark.sql import functions as F
 SAMPLED_TEXTS, SAMPLED_LINES, VOCABULARY = 300, 3_000, 1_200
 #: Share of ordinary lines above which an n-gram is too common to tell anything.
 COMMON = 0.002
-#: Slots of the hash table of n-grams.
-SLOTS = 1 << 13
-#: Lines that a wrapped notice may take.
-WRAPPED = 4
+#: Slots of the hash table of n-grams: the least number from here on that gives each n-gram one of its own.
+SLOTS = 1 << 14
 SEED, UNKNOWN, CONFIRMING, LEAST_PROBABILITY = 13, "unknown", 0.7, 0.5
 _TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
@@ -113,6 +115,13 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     ),
 }
+#: What families are called in plain sentences.
+NAMES = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache 2", "Apache 2.0", "Apache"), "GPL": ("GPL", "GPLv3", "GPLv2", "GNU GPL"), "LGPL": ("LGPL", "GNU LGPL"), "AGPL": ("AGPL", "GNU AGPL"), "BSD": ("BSD", "BSD 3-Clause"),
+    "MPL-2.0": ("MPL", "MPL 2.0", "Mozilla Public"), "ISC": ("ISC",), "CC-BY": ("CC BY 4.0",), "CC-BY-SA": ("CC BY-SA 4.0",), "CC-BY-NC": ("CC BY-NC 4.0",), "CC0": ("CC0",),
+}
+#: Sentences that name a licence.
+PLAIN = ("License: {}", "Licence: {}", "under the {} licence", "under the {} license", "under the terms of the {} licence")
 #: Paragraphs that use the same words and grant nothing.
 ORDINARY = (
     "His driving license expired in March and he had to renew it.",
@@ -146,16 +155,21 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, runs(2), runs(3)))
 
 
+def notices_of(family: str) -> tuple[str, ...]:
+    """The family's notices and the plain sentences that name it; none for ``unknown``."""
+    return TEMPLATES.get(family, ()) + tuple(form.format(name) for name in NAMES.get(family, ()) for form in PLAIN)
+
+
 def variants() -> list[tuple[str, str]]:
     """(family, notice) rows: every notice whole, in parts, and among other words."""
     out = []
-    for family, notices in TEMPLATES.items():
-        for notice in notices:
+    for family in TEMPLATES:
+        for notice in notices_of(family):
             words = notice.split()
             out += [(family, notice), (family, notice.upper()), (family, f"Note: {notice} See below for more."), (family, f"Copyright 2020 The Authors. {notice}")]
             if len(words) > 8:
                 out += [(family, " ".join(words[: len(words) * 3 // 4])), (family, " ".join(words[len(words) // 4 :]))]
-    return out + [(UNKNOWN, x) for x in ORDINARY for _ in range(4)]
+    return out
 
 
 @dataclass
@@ -175,12 +189,12 @@ class Model:
         return F.from_json(F.lit(json.dumps(value)), kind)
 
     def is_known(self, gram: Column) -> Column:
-        at = (F.pmod(F.xxhash64(gram), F.lit(SLOTS)) + 1).cast("int")
+        at = (F.pmod(F.xxhash64(gram), F.lit(len(self.slots))) + 1).cast("int")
         return F.element_at(self._constant(self.hashes, "array<bigint>"), at) == F.xxhash64(gram)
 
     def number(self, gram: Column) -> Column:
         """Number, from 1, of a known n-gram."""
-        return F.element_at(self._constant(self.slots, "array<int>"), (F.pmod(F.xxhash64(gram), F.lit(SLOTS)) + 1).cast("int"))
+        return F.element_at(self._constant(self.slots, "array<int>"), (F.pmod(F.xxhash64(gram), F.lit(len(self.slots))) + 1).cast("int"))
 
     def scores(self, some: Column) -> Column:
         table = self._constant(self.weights, "array<array<double>>")
@@ -205,24 +219,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     rate = min(1.0, SAMPLED_TEXTS / max(1, docs.count()))
     chosen = docs.where(F.pmod(place, F.lit(1 << 20)) < rate * (1 << 20)).select(F.col(text_col).cast("string").alias("text"))
     lines = _lines(chosen).orderBy(F.xxhash64("line", F.lit(SEED)), "line").limit(SAMPLED_LINES)
-    lines = lines.withColumn("words", tokens(F.col("line"))).withColumn("grams", grams(F.col("words")))
-    notices = F.flatten(F.array(*map(_template_grams, TEMPLATES)))
-    part = (F.size("words") >= 4) & F.exists(notices, lambda t: F.size(F.array_intersect(F.col("grams"), t)) >= F.lit(CONFIRMING) * F.size("grams"))
-    ordinary = [r["line"] for r in lines.where(~_confirmed(F.col("grams"), notices) & ~part).select("line").collect()]  # a line that holds a notice, or a part of one, is no ordinary one
-    rows = [*variants(), *((UNKNOWN, x) for x in ordinary)]
+    notices = [frozenset(_grams_of(n)) for f in TEMPLATES for n in notices_of(f)]
+    ordinary = [r["line"] for r in lines.collect() if not _holds_notice(r["line"], notices)]
     families = [UNKNOWN, *TEMPLATES]
-    data = spark.createDataFrame([(families.index(f), x, i % 4 == 3, x in TEMPLATES.get(f, ())) for i, (f, x) in enumerate(rows)], "label int, line string, held boolean, notice boolean").coalesce(1)
+    rows = [(f, x, i % 4 == 3) for i, (f, x) in enumerate([*variants(), *((UNKNOWN, x) for x in ordinary)])]
+    rows += [(UNKNOWN, x, i % 4 == 3) for i, x in enumerate(ORDINARY) for _ in range(4)]  # each on one side
+    data = spark.createDataFrame([(families.index(f), x, held, x in notices_of(f)) for f, x, held in rows], "label int, line string, held boolean, notice boolean").coalesce(1)
     data = data.withColumn("words", tokens(F.col("line"))).select("label", "held", "notice", grams(F.col("words")).alias("grams")).cache()
     counts = data.select("label", "notice", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count_if("notice").alias("family"), F.count_if(F.col("label") == 0).alias("ordinary"), F.first(F.xxhash64("gram")).alias("hash"))
     usual = {r["gram"]: r for r in counts.where("family > 0").collect()}
     limit = max(5, COMMON * len(ordinary))
     rare = {g for g, r in usual.items() if r["ordinary"] <= limit}
-    slots, known = [0] * SLOTS, []
-    for g in sorted((g for g in rare if any(w in rare for w in g.split(" "))), key=lambda g: (-usual[g]["family"], g)):
-        slot = usual[g]["hash"] % SLOTS
-        if len(known) < VOCABULARY and not slots[slot]:  # a slot holds one n-gram; a later one is not known
-            known.append(g)
-            slots[slot] = len(known)
+    known = sorted((g for g in rare if any(w in rare for w in g.split(" "))), key=lambda g: (-usual[g]["family"], g))[:VOCABULARY]
+    size = next(n for n in itertools.count(SLOTS) if len({usual[g]["hash"] % n for g in known}) == len(known))
+    slots = [0] * size
+    for i, g in enumerate(known):
+        slots[usual[g]["hash"] % size] = i + 1
     vectors = CountVectorizerModel.from_vocabulary(known, inputCol="grams", outputCol="features")
     vectors.setBinary(True)
     ready = vectors.transform(data.withColumn("grams", F.filter("grams", lambda g: g.isNotNull())))
@@ -255,15 +267,8 @@ def findings(text: Column, model: Model) -> Column:
     # a paragraph without a known word has no known n-gram, and so the intercepts' verdict: unknown
     lines = F.transform(split, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["words"].alias("words"), F.exists(x["words"], model.is_known).alias("hinted")))
     templates = F.array(*[_template_grams(x) for x in model.families])
-    both = lambda held: F.transform(F.array(_single(held, model, templates)), lambda found: F.concat(found, _wrapped(_others(held, found), model, templates)))[0]
-    return F.transform(F.array(lines), both)[0]
-
-
-def _others(lines: Column, found: Column) -> Column:
-    """``lines`` where those that hold a notice alone are bare, as a wrapped notice doesn't reach over them."""
-    whole = F.transform(F.filter(found, lambda x: x["confirmed"]), lambda x: x["paragraph"])
-    bare = F.array().cast("array<string>")
-    return F.transform(lines, lambda x: F.struct(x["paragraph"].alias("paragraph"), F.when(F.array_contains(whole, x["paragraph"]), bare).otherwise(x["words"]).alias("words"), x["hinted"].alias("hinted")))
+    whole = F.coalesce(text, F.lit(""))
+    return F.transform(F.array(_single(lines, model, templates)), lambda found: F.concat(found, _wrapped(whole, found, model, templates)))[0]
 
 
 def _single(lines: Column, model: Model, templates: Column) -> Column:
@@ -290,27 +295,27 @@ def _sure(split: Column, model: Model) -> Column:
     return F.filter(F.transform(scored, named), lambda x: (x["k"] > 1) & (x["probability"] >= F.lit(model.threshold)))
 
 
-def _window(lines: Column, at: Column) -> Column:
-    """N-grams of at most ``WRAPPED`` lines from number ``at`` on, up to one without a word."""
-    rows = F.slice(lines, at, F.lit(WRAPPED))
-    end = F.array_position(F.transform(rows, lambda x: F.size(x["words"]) == 0), F.lit(True)).cast("int")
-    rows = F.when(end > 0, F.slice(rows, F.lit(1), end - 1)).otherwise(rows)
-    return grams(F.flatten(F.transform(rows, lambda x: x["words"])))
+#: What parts blocks: line ends with nothing but lines without a word between.
+_PART = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 
 
-def _wrapped(lines: Column, model: Model, templates: Column) -> Column:
-    """Findings of notices that only adjoining lines hold: each by the last line that it can start in."""
-    words_after = lambda x: F.coalesce(F.size(F.get(lines, x["paragraph"])["words"]), F.lit(0))
-    goes_on = F.filter(lines, lambda x: (F.size(x["words"]) > 0) & (words_after(x) > 0) & F.exists(F.slice(lines, x["paragraph"], F.lit(WRAPPED)), lambda y: y["hinted"]))
-    split = F.transform(goes_on, lambda x: F.struct(x["paragraph"].alias("paragraph"), _window(lines, x["paragraph"]).alias("grams")))
+def _wrapped(text: Column, found: Column, model: Model, templates: Column) -> Column:
+    """Findings of notices that only blocks of several lines hold, by the line that the block starts in."""
+    line_ends = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    before = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + line_ends(x))
+    several = F.transform(F.split(text, _PART), lambda x, i: F.struct(i.alias("i"), x.alias("block"), F.when(F.contains(x, F.lit("\n")), tokens(x)).otherwise(F.array().cast("array<string>")).alias("words")))
+    hinted = F.transform(F.filter(several, lambda x: F.exists(x["words"], model.is_known)), lambda x: F.struct(x["i"].alias("i"), x["block"].alias("block"), grams(x["words"]).alias("grams")))
+    scored = F.transform(hinted, lambda x: F.struct(x["i"].alias("i"), line_ends(x["block"]).alias("ends"), x["grams"].alias("grams"), model.probabilities(x["grams"]).alias("p")))
+    places = F.array(*map(F.lit, range(2, len(model.families) + 1)))
 
-    def starts(x: Column) -> Column:
-        return F.exists(F.element_at(templates, x["k"]), lambda t: _holds(x["grams"], t) & ~_holds(_window(lines, x["paragraph"] + 1), t))
+    def families(x: Column) -> Column:
+        odds = lambda k: F.element_at(x["p"], k) / (F.element_at(x["p"], k) + x["p"][0])
+        sure = F.filter(places, lambda k: (odds(k) >= F.lit(model.threshold)) & _confirmed(x["grams"], F.element_at(templates, k)))
+        start = F.when(F.size(sure) > 0, before(F.split(text, _PART), x["i"]) + before(F.regexp_extract_all(text, F.lit(_PART), F.lit(0)), x["i"]) + 1)
+        return F.transform(sure, lambda k: F.struct(start.alias("paragraph"), F.element_at(F.array(*map(F.lit, model.families)), k).alias("family"), odds(k).alias("probability"), F.lit(True).alias("confirmed"), x["ends"].alias("ends")))
 
-    return F.transform(
-        F.filter(_sure(split, model), starts),
-        lambda x: F.struct(x["paragraph"].cast("int").alias("paragraph"), F.element_at(F.array(*map(F.lit, model.families)), x["k"]).alias("family"), x["probability"].alias("probability"), F.lit(True).alias("confirmed")),
-    )
+    alone = lambda x: F.exists(found, lambda y: y["confirmed"] & (y["family"] == x["family"]) & y["paragraph"].between(x["paragraph"], x["paragraph"] + x["ends"]))
+    return F.transform(F.filter(F.flatten(F.transform(scored, families)), lambda x: ~alone(x)), lambda x: F.struct(x["paragraph"].cast("int").alias("paragraph"), *[x[c].alias(c) for c in ("family", "probability", "confirmed")]))
 
 
 def _holds(some: Column, notice: Column) -> Column:
@@ -322,9 +327,16 @@ def _confirmed(some: Column, notices: Column) -> Column:
     return F.exists(notices, lambda t: _holds(some, t))
 
 
+def _holds_notice(line: str, notices: list[frozenset]) -> bool:
+    """Whether a sampled line holds most of a notice, or is most of it a part of one: then it is no ordinary one."""
+    some = set(_grams_of(line))
+    part = len(some) >= 9  # of four words
+    return any((n := len(some & t)) >= CONFIRMING * len(t) or part and n >= CONFIRMING * len(some) for t in notices)
+
+
 def _template_grams(family: str) -> Column:
     """N-grams of the family's notices: a constant."""
-    found = [_grams_of(x) for x in TEMPLATES.get(family, ())]
+    found = [_grams_of(x) for x in notices_of(family)]
     return F.from_json(F.lit(json.dumps(found)), "array<array<string>>")
 
 

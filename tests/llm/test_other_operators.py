@@ -218,7 +218,7 @@ CANONICAL = {
 def test_wrapped_notices(spark):
     rng = random.Random(8)
     filler = lambda: textwrap.fill(" ".join(rng.choice(("river", "house", "under", "green", "of", "the", "walk", "work")) for _ in range(40)), 75)
-    cases = [(f, n, width, mark) for f, n in CANONICAL.items() for width in (70, 76, 80) for mark in ("", "# ")]
+    cases = [(f, n, width, mark) for f, n in CANONICAL.items() for width in (20, 40, 76) for mark in ("", "# ")]
     texts = [f"{filler()}\n\n" + "\n".join(mark + x for x in textwrap.wrap(n, width)) + f"\n\n{filler()}" for _, n, width, mark in cases]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(filler() for _ in range(60))])], "doc_id long, text string")
     got = {r.doc_id: [(x.paragraph, x.family) for x in r.findings if x.confirmed] for r in licenses.scan(docs).collect()}
@@ -265,3 +265,52 @@ def test_repeated_queries_are_answered_once(spark):
         scores = sorted(((-int(np.dot(q, v)), i) for q in asked for i, v in x if i != query))[:20]
         got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == query)
         assert [(-s, i) for _, i, s in got] == scores and [r for r, _, _ in got] == list(range(1, 21))
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_licences_in_plain_words_and_in_one_block(spark, licence_model):
+    plain = [("MIT", "Distributed under the terms of the MIT licence"), ("Apache-2.0", "License: Apache 2"), ("GPL", "You may use it under the GPLv3 license."), ("BSD", "the code is available under the BSD licence, see below"), ("CC0", "Licence: CC0")]
+    other = ["He lost his licence: MIT was far away.", "under the terms of the house licence", "The BSD was a system at Berkeley.", "a long line " * 5_000 + "under the terms of the house"]
+    block = "\n".join(textwrap.wrap(CANONICAL["MIT"], 30) + textwrap.wrap(CANONICAL["BSD"], 30) + ["Released under the ISC License."])
+    docs = spark.createDataFrame([*enumerate([x for _, x in plain] + other), (50, f"one\n\ntwo\n \n\n{block}\n--\nend"), (51, "x " * 30_000 + "Released under the MIT License. " + "y " * 30_000)], "doc_id long, text string")
+    got = {r.doc_id: [(x.paragraph, x.family) for x in r.findings if x.confirmed] for r in licenses.scan(docs, licence_model).collect()}
+    assert [got[i] for i in range(len(plain))] == [[(1, f)] for f, _ in plain]
+    assert not any(got[i] for i in range(len(plain), len(plain) + len(other)))
+    assert sorted(f for _, f in got[50]) == ["BSD", "ISC", "MIT"] and {n for n, f in got[50] if f != "ISC"} == {6} and got[51] == [(1, "MIT")]
+
+
+def scan_by_hand(text, model):
+    """The confirmed families of a text's lines and blocks, in Python."""
+    def families(words):
+        some = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+        scores = [b + sum(model.weights[known[g]][k] for g in some & known.keys()) for k, b in enumerate(model.intercepts)]
+        p = [math.exp((x - max(scores)) / model.temperature) for x in scores]
+        sure = lambda f: any(len(some & t) >= licenses.CONFIRMING * len(t) for t in notices[f])
+        return [x / sum(p) for x in p], sure
+
+    known = {g: i for i, g in enumerate(model.grams)}
+    notices = {f: [set(licenses._grams_of(t)) for t in licenses.notices_of(f)] for f in model.families}
+    lines = [re.findall(licenses._TOKEN, x.lower()) for x in text.split("\n")]
+    out = set()
+    for words in lines:
+        p, sure = families(words)
+        k = p.index(max(p))
+        if k and p[k] >= model.threshold and sure(model.families[k]):
+            out.add(model.families[k])
+    for block in re.split(licenses._PART, text):
+        if "\n" in block:
+            p, sure = families(re.findall(licenses._TOKEN, block.lower()))
+            out |= {f for f, x in zip(model.families, p) if f != licenses.UNKNOWN and x / (x + p[0]) >= model.threshold and sure(f)}
+    return out
+
+
+def test_licence_scan_equals_a_scan_by_hand(spark, licence_model):
+    model = licence_model
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert len(set(i % len(model.slots) for i in (h for h in model.hashes if h))) == len(model.grams)
+    got = {r.doc_id: {x.family for x in r.findings if x.confirmed} for r in licenses.scan(docs, model).collect()}
+    assert got == {r.doc_id: scan_by_hand(r.text or "", model) for r in docs.collect()} and any(got.values())

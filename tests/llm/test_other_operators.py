@@ -274,7 +274,7 @@ def licence_model(spark):
 
 def test_licences_in_plain_words_and_in_one_block(spark, licence_model):
     plain = [("MIT", "Distributed under the terms of the MIT licence"), ("Apache-2.0", "License: Apache 2"), ("GPL", "You may use it under the GPLv3 license."), ("BSD", "the code is available under the BSD licence, see below"), ("CC0", "Licence: CC0")]
-    other = ["He lost his licence: MIT was far away.", "under the terms of the house licence", "The BSD was a system at Berkeley.", "a long line " * 5_000 + "under the terms of the house"]
+    other = ["MIT was far away when he lost his licence.", "under the terms of the house licence", "The BSD was a system at Berkeley.", "a long line " * 5_000 + "under the terms of the house"]
     block = "\n".join(textwrap.wrap(CANONICAL["MIT"], 30) + textwrap.wrap(CANONICAL["BSD"], 30) + ["Released under the ISC License."])
     docs = spark.createDataFrame([*enumerate([x for _, x in plain] + other), (50, f"one\n\ntwo\n \n\n{block}\n--\nend"), (51, "x " * 30_000 + "Released under the MIT License. " + "y " * 30_000)], "doc_id long, text string")
     got = {r.doc_id: [(x.paragraph, x.family) for x in r.findings if x.confirmed] for r in licenses.scan(docs, licence_model).collect()}

@@ -93,7 +93,7 @@ def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     spark = rows.sparkSession
     state, width = _integers(rows, parts, id_col, vector_col, label_col)
     first = state.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).select("x").collect()
-    start = np.array([list(r["x"]) for r in first], np.int64).reshape(len(first), parts, -1).swapaxes(0, 1)
+    start = np.array([list(r["x"]) for r in first], np.int64).reshape(len(first), parts, width // parts).swapaxes(0, 1)
     books = Codebooks(start, np.zeros(start.shape[:2], np.int64), np.zeros(start.shape, np.int64))
     for _ in range(rounds if len(first) else 0):
         new = _assign(state, books, width)

@@ -6,9 +6,11 @@ selection runs in rounds, each a written table: a row is accepted when fewer tha
 earlier rows *still possible* share each of its keys, and rejected once that many earlier
 *accepted* rows do.  The earliest undecided row is decided in every round, so it ends, and any
 number of rows of one key costs no single task: ranks come from windows with a group limit, which
-every task applies before the shuffle.  Once no more than ``FOLD_ROWS`` keys of undecided rows are
-left, a fold in order settles them in one task; it also reads at most the limit of accepted rows
-for each of those keys.
+every task applies before the shuffle.  A round reads the rows that are still undecided, with their
+keys in an array, and the keys of accepted rows, at most the limit of each; what is decided moves no
+more.  Once no more than ``FOLD_ROWS`` keys of undecided rows are left, a fold in order settles them
+in one task; it also reads at most the limit of accepted rows for each of those keys.  Verdicts and
+reasons come from the accepted rows' keys in one last pass.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .. import tables
 
 #: Keys of undecided rows that one task settles.
 FOLD_ROWS = 200_000
+#: Rows of a written table that are sent to every task.
+SENT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -60,60 +64,76 @@ def select(rows: DataFrame, order: Column, keys: list[Key], quota: int | None =
     """
     spark = rows.sparkSession
     placed = tables.written(rows.withColumn("_ord", order.cast("bigint")), "selection")
-    parts = [_held(placed, n, key) for n, key in enumerate(keys)]
-    held = tables.written(placed.select("_ord", F.inline(F.concat(*parts))), "selection-keys")  # one row a key of a row
-    widths = placed.select("_ord", F.aggregate(F.array(*[F.size(p) for p in parts]), F.lit(0), lambda a, b: a + b).alias("n_keys"))
-    state = tables.written(widths.withColumn("state", F.lit(0)), "selection-state")  # 0 undecided, 1 accepted, -1 rejected
+    keyed = placed.select("_ord", F.concat(*[_held(placed, n, key) for n, key in enumerate(keys)]).alias("_keys")).where(F.size("_keys") > 0)
+    top = max(k.limit for k in keys)
     prior = before if before is not None else spark.createDataFrame([], "rule int, limit int, key string, _ord bigint")
+    left, taken = keyed, prior.select("rule", "limit", "key", "_ord")
     while True:
-        left = state.where("state = 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
-        if not left[0]:
+        n = left.agg(F.coalesce(F.sum(F.size("_keys")), F.lit(0))).first()[0]
+        if not n:
             break
-        possible = held.join(state.where("state >= 0").select("_ord", "state"), "_ord").select("rule", "limit", "key", "_ord", "state")
-        possible = possible.unionByName(prior.withColumn("state", F.lit(1)))
-        if left[1] <= fold_rows:
-            decided = _folded(possible, state)
-            state = tables.written(state.join(decided, "_ord", "left").select("_ord", "n_keys", F.coalesce("new", F.when(F.col("state") == 0, 1).otherwise(F.col("state"))).alias("state")), "selection-state")
+        folded = n <= fold_rows
+        accepted = tables.written(_folded(_keys_of(left), taken) if folded else _ready(left, taken, top), "selection-accepted")
+        new = tables.written(taken.unionByName(_keys_of(_joined(left, accepted, ["_ord"], "left_semi")).drop("n_keys")), "selection-taken")
+        tables.drop(taken)
+        taken = new
+        if folded:
             break
-        top = max(k.limit for k in keys)
-        rank = F.row_number().over(Window.partitionBy("rule", "key").orderBy("_ord"))
-        early = possible.withColumn("rank", rank).where((F.col("rank") <= top) & (F.col("rank") <= F.col("limit")))
-        ready = early.where("state = 0").groupBy("_ord").agg(F.count(F.lit(1)).alias("n_early")).join(state.where("state = 0"), "_ord", "right")
-        ready = ready.where(F.coalesce("n_early", F.lit(0)) == F.col("n_keys")).select("_ord", F.lit(1).alias("new"))
-        taken = possible.where("state = 1").select("rule", "limit", "key", "_ord").withColumn("rank", rank).where((F.col("rank") <= top) & (F.col("rank") == F.col("limit")))
-        full = taken.select("rule", "key", F.col("_ord").alias("full_at"))
-        undecided = held.join(state.where("state = 0").select("_ord"), "_ord")
-        out = undecided.join(full, ["rule", "key"]).where("full_at < _ord").select("_ord").distinct().select("_ord", F.lit(-1).alias("new"))
-        decided = ready.unionByName(out)
-        old = state
-        state = tables.written(state.join(decided, "_ord", "left").select("_ord", "n_keys", F.coalesce("new", "state").alias("state")), "selection-state")
-        tables.drop(old)
-    accepted = state.where("state = 1").select("_ord")
+        decided = accepted.unionByName(_out(left, taken, top).select("_ord").distinct())
+        rest = tables.written(left.join(decided, "_ord", "left_anti"), "selection-left")
+        for done in (left, accepted):
+            tables.drop(done)
+        left = rest
+    # every rejected row, and no accepted one, comes after the row that filled one of its keys
+    broken = tables.written(_out(keyed, taken, top).groupBy("_ord").agg(F.min("rule").alias("rule")), "selection-broken")
+    tables.drop(taken)
     cut = None
     if quota is not None:
-        last = accepted.orderBy("_ord").limit(quota).agg(F.max("_ord").alias("cut"), F.count(F.lit(1)).alias("n")).first()
+        last = placed.select("_ord").join(broken, "_ord", "left_anti").orderBy("_ord").limit(quota).agg(F.max("_ord").alias("cut"), F.count(F.lit(1)).alias("n")).first()
         cut = last["cut"] if last["n"] == quota else None
-    rank = F.row_number().over(Window.partitionBy("rule", "key").orderBy("_ord"))
-    all_taken = held.join(accepted, "_ord").select("rule", "limit", "key", "_ord").unionByName(prior)
-    full = all_taken.withColumn("rank", rank).where((F.col("rank") <= max(k.limit for k in keys)) & (F.col("rank") == F.col("limit"))).select("rule", "key", F.col("_ord").alias("full_at"))
-    broken = held.join(state.where("state = -1").select("_ord"), "_ord").join(full, ["rule", "key"]).where("full_at < _ord").groupBy("_ord").agg(F.min("rule").alias("rule"))
     reasons = F.element_at(F.array(*[F.lit(k.reason) for k in keys]), F.col("rule") + 1)
-    result = placed.join(state.select("_ord", "state"), "_ord").join(broken.select("_ord", reasons.alias("reason")), "_ord", "left").withColumn("accepted", F.col("state") == 1)
+    result = placed.join(broken.select("_ord", reasons.alias("reason")), "_ord", "left").withColumn("accepted", F.col("reason").isNull())
     if cut is not None:
         late = F.col("_ord") > cut
         result = result.withColumn("accepted", F.when(~late, F.col("accepted"))).withColumn("reason", F.when(~late, F.col("reason")))
-    return result.drop("_ord", "state")
+    return result.select(*[c for c in placed.columns if c != "_ord"], "reason", "accepted")
+
+
+def _joined(rows: DataFrame, others: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join; a written table of few rows is sent to every task."""
+    return rows.join(F.broadcast(others) if others.count() <= SENT else others, on, how)
+
+
+def _keys_of(left: DataFrame) -> DataFrame:
+    return left.select("_ord", F.size("_keys").alias("n_keys"), F.inline("_keys"))
+
+
+def _ranked(held: DataFrame, top: int) -> DataFrame:
+    """The first rows of each key, up to its limit, with their ranks."""
+    rank = F.row_number().over(Window.partitionBy("rule", "key").orderBy("_ord"))
+    return held.withColumn("rank", rank).where((F.col("rank") <= top) & (F.col("rank") <= F.col("limit")))
+
+
+def _ready(left: DataFrame, taken: DataFrame, top: int) -> DataFrame:
+    """(_ord) of the undecided rows that are among the first possible ones of each of their keys."""
+    early = _ranked(_keys_of(left).unionByName(taken.withColumn("n_keys", F.lit(0))), top).where("n_keys > 0")
+    return early.groupBy("_ord", "n_keys").agg(F.count(F.lit(1)).alias("n_early")).where("n_early = n_keys").select("_ord")
+
+
+def _out(left: DataFrame, taken: DataFrame, top: int) -> DataFrame:
+    """(_ord, rule) of rows that come after the one that filled a key of theirs."""
+    full = tables.written(_ranked(taken, top).where(F.col("rank") == F.col("limit")).select("rule", "key", F.col("_ord").alias("full_at")), "selection-full")
+    return _joined(_keys_of(left).select("_ord", "rule", "key"), full, ["rule", "key"], "inner").where("full_at < _ord").select("_ord", "rule")
 
 
-def _folded(possible: DataFrame, state: DataFrame) -> DataFrame:
-    """(_ord, new) for the undecided rows that have a key, by a fold in order."""
-    undecided = possible.where("state = 0")
-    relevant = possible.where("state = 1").join(undecided.select("rule", "key").distinct(), ["rule", "key"], "left_semi")
-    rows = undecided.unionByName(relevant).withColumn("_all", F.lit(0))
+def _folded(undecided: DataFrame, taken: DataFrame) -> DataFrame:
+    """(_ord) of the undecided rows that a fold in order accepts."""
+    relevant = taken.join(undecided.select("rule", "key").distinct(), ["rule", "key"], "left_semi").withColumn("state", F.lit(1))
+    rows = undecided.drop("n_keys").withColumn("state", F.lit(0)).unionByName(relevant).withColumn("_all", F.lit(0))
 
     def fold(part):
         counts: dict[tuple, int] = {}
-        orders, verdicts = [], []
+        orders = []
         part = part.sort_values(["_ord", "state"], kind="stable")
         for (ord_, decided), group in itertools.groupby(zip(part["_ord"], part["state"], part["rule"], part["limit"], part["key"]), lambda r: r[:2]):
             held = [((rule, key), limit) for _, _, rule, limit, key in group]
@@ -121,12 +141,11 @@ def _folded(possible: DataFrame, state: DataFrame) -> DataFrame:
             if accept:
                 for k, _ in held:
                     counts[k] = counts.get(k, 0) + 1
-            if not decided:
-                orders.append(ord_)
-                verdicts.append(1 if accept else -1)
-        return pd.DataFrame({"_ord": orders, "new": verdicts})
+                if not decided:
+                    orders.append(ord_)
+        return pd.DataFrame({"_ord": orders})
 
-    return rows.groupBy("_all").applyInPandas(fold, "_ord bigint, new int")
+    return rows.groupBy("_all").applyInPandas(fold, "_ord bigint")
 
 
 def _held(rows: DataFrame, n: int, key: Key) -> Column:

@@ -23,15 +23,20 @@ CHUNK, CHUNK_VALUES, STRIP, PRODUCTS = 16_384, 1 << 22, 128, 32_768
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the non-root nodes of edges (a, b): the least node each is connected to.
 
-    Each round hooks every node to the least neighbour of its root's and halves paths; a written
-    table ends each round, and the one before is deleted.  Rounds end when the count and a sum of
-    hashes of the links stay as they are.
+    A node whose only link is to a lesser one is a leaf: it decides no root, so it takes its
+    neighbour's at the end and only the other links go round.  Each round hooks every node to the
+    least neighbour of its root's and halves paths; a written table ends each round, and the one
+    before is deleted.  Rounds end when the count and a sum of hashes of the links stay as they are.
     """
 
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
-    links = tables.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    whole = tables.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    ends = whole.select(F.col("a").alias("leaf"), F.col("b").alias("low")).unionByName(whole.select(F.col("b").alias("leaf"), F.lit(None).cast(whole.schema["b"].dataType).alias("low")))
+    leaves = tables.written(ends.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.first("low", ignorenulls=True).alias("low")).where("n = 1 AND low IS NOT NULL").select("leaf", "low"), "leaves")
+    links = tables.written(whole.join(leaves, F.col("a") == F.col("leaf"), "left_anti"), "links")
+    tables.drop(whole)
     before = sign(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -45,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(leaves.join(roots, F.col("low") == F.col("node"), "left").select(F.col("leaf").alias("node"), F.coalesce("root", "low").alias("root")))
 
 
 def independence_groups(evidence: DataFrame, id_col: str, keys: dict[str, Column], bursts: tuple[str, str, str] | None = None, more: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+from collections.abc import Callable
 from html import unescape
 from html.parser import HTMLParser
 
@@ -17,14 +19,32 @@ from ..schemas import IDENTITY_KEYS
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
+#: Texts that are Python objects at once: Spark's batches hold thousands.
+PIECE = 128
+
+
+def _each(x: pa.Array, function: Callable[[str], str]) -> pa.Array:
+    """``function`` of every value, a piece of the batch at a time; nulls stay."""
+    pieces = [pa.array([None if v is None else function(v) for v in x.slice(at, PIECE).to_pylist()], pa.string()) for at in range(0, len(x), PIECE)]
+    return pa.concat_arrays(pieces) if pieces else pa.array([], pa.string())
+
+
+def _nfkc(v: str) -> str:
+    return v if v.isascii() else unicodedata.normalize("NFKC", v)
+
+
+def _folded(v: str) -> str:
+    return " ".join(_nfkc(v).split()).casefold()
+
+
 @F.arrow_udf(StringType())
 def nfkc(x: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else v if v.isascii() else unicodedata.normalize("NFKC", v) for v in x.to_pylist()], pa.string())
+    return _each(x, _nfkc)
 
 
 @F.arrow_udf(StringType())
 def casefold(x: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else v.casefold() for v in x.to_pylist()], pa.string())
+    return _each(x, str.casefold)
 
 
 def collapse(x: Column) -> Column:
@@ -35,12 +55,13 @@ def collapse(x: Column) -> Column:
 @F.arrow_udf(StringType())
 def folded_nfkc(x: pa.Array) -> pa.Array:
     """Case-folded, collapsed NFKC: what a fingerprint is taken of, in one pass over the text."""
-    return pa.array([None if v is None else " ".join((v if v.isascii() else unicodedata.normalize("NFKC", v)).split()).casefold() for v in x.to_pylist()], pa.string())
+    return _each(x, _folded)
 
 
-def text_fingerprint(x: Column) -> Column:
-    """``fingerprint`` of a text that is not normalised yet."""
-    return F.sha2(folded_nfkc(x), 256)
+@F.arrow_udf(StringType())
+def text_fingerprint(x: pa.Array) -> pa.Array:
+    """``fingerprint`` of a text that is not normalised yet; only digests leave the worker."""
+    return _each(x, lambda v: hashlib.sha256(_folded(v).encode()).hexdigest())
 
 
 def normalize_text(x: Column) -> Column:

@@ -107,13 +107,13 @@ def q_author_hash(spark, d):
 
 @query()
 def q_select_independent(spark, d):
-    rows = _items(spark, d).withColumn("text_fingerprint", text.fingerprint(text.normalize_text(F.col("text")))).drop("text")
+    rows = _items(spark, d).withColumn("text_fingerprint", text.text_fingerprint(F.col("text"))).drop("text")
     return selection.select(rows, F.col("doc_id"), selection.observation_keys()).select("doc_id", "accepted", "reason")
 
 
 @query()
 def q_select_quota(spark, d):
-    rows = _items(spark, d).withColumn("text_fingerprint", text.fingerprint(text.normalize_text(F.col("text")))).drop("text")
+    rows = _items(spark, d).withColumn("text_fingerprint", text.text_fingerprint(F.col("text"))).drop("text")
     picked = selection.select_strata(rows, "community", {"de": 60, "en": 100, "es": 40, "fr": 60}, F.col("doc_id"), selection.observation_keys())
     return selection.segment_counters(picked, "community")
 

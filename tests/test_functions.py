@@ -2,8 +2,10 @@ import hashlib
 import hmac
 import json
 import re
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quernstone.functions import ids, text, values
@@ -89,3 +91,14 @@ def test_dataset_digest_ignores_order(spark):
     make = lambda r: ids.dataset_sha256(spark.createDataFrame(r, "id int, json string"), "id", "json").first()
     assert make(rows) == make(rows[::-1]) and make(rows).dataset_sha256 == hashlib.sha256("\n".join(j for _, j in rows).encode()).hexdigest()
     assert column(spark, '{"b": 1.50, "a": "é"}', ids.canonical_json_text) == '{"a":"é","b":1.5}'
+
+
+def test_texts_of_a_batch_are_not_held_at_once():
+    batch = pa.array(["Straße " * 1000] * 2000 + [None])  # 16 MB
+    for function in (text.nfkc, text.casefold, text.folded_nfkc, text.text_fingerprint):
+        tracemalloc.start()
+        got = function.func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == 2001 and got[2000].as_py() is None and peak < 8 << 20
+    assert got[0].as_py() == hashlib.sha256(("strasse " * 1000).strip().encode()).hexdigest()

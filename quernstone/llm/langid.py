@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_batches, map_batches
+from .common import filter_batches, map_batches, materialise
 
 #: Bounds of the labelled sample: texts for each language, windows of words for each text, all windows, which the languages share evenly.
 TEXTS_PER_LANG, WINDOWS_PER_TEXT, MAX_WINDOWS = 300, 4, 20_000
 CHAIN, BLOCK_WORDS, SEED = 64, 65_536, 11
 #: Training chains for each language, but four languages' at least.
 LANG_CHAINS, EPOCHS, BATCH, RATE = 600, 6, 80, 0.15
-#: Labelled rows that training doesn't see which the least score is calibrated on, their quantile, and its part that still counts.
-CALIBRATED, LOWEST, PART = 2_000, 0.01, 0.7
+#: The quantile of known texts' scores that the least score is calibrated on, its part that still counts, and bins that find it.
+LOWEST, PART, BINS = 0.01, 0.7, 4_096
 LEXICON, LEXICON_MIN = 4_000, 3
 _BITS = {2: 16, 3: 16, 4: 17}
 _MULTIPLIER = {3: 0x9E3779B1, 4: 0x85EBCA6B}
@@ -298,15 +298,36 @@ def keep_lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def least_score(docs: DataFrame, field: ChainField, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
     """The score from which on a text is in a learned language: part of the score that all but the lowest hundredth of known texts reach, 0 without any.
 
-    It comes from at most ``CALIBRATED`` rows that training never saw and that got their language.
+    It comes from all rows that training never saw and that got their language.
     """
     known = docs.where(held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rate = min(1.0, 0.9 * CALIBRATED / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + 1)), F.lit(1 << 20)) < rate * (1 << 20)).limit(CALIBRATED)
-    found = identify(sample.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), field).withColumnRenamed("doc_id", "id")
-    right = found.join(sample.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("known")).distinct(), "id").where("known = lang_pred")
-    scores = [r["score"] for r in right.select("score").collect()]
-    return PART * float(np.quantile(scores, LOWEST)) if scores else 0.0
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def right(batch: pa.RecordBatch) -> list:
+        found = shared.value.predict(batch.column(1).to_pylist())
+        return [[score for (lang, score), said in zip(found, batch.column(0).to_pylist()) if lang == said]]
+
+    scores = materialise(map_batches(known.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")), "score double", right), "scores")
+    n = scores.count()
+    if not n:
+        return 0.0
+    place = (n - 1) * LOWEST
+    low = at_rank(scores, int(place))
+    return PART * (low + (at_rank(scores, min(int(place) + 1, n - 1)) - low) * (place - int(place)))
+
+
+def at_rank(scores: DataFrame, rank: int) -> float:
+    """The score of that rank, from 0, exactly: counts of bins, then of the bins of one bin, until it holds one value."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        bins = F.floor((F.col("score") - low) / (high - low) * BINS).alias("bin")  # no lesser score has a greater bin
+        counted = scores.where(F.col("score").between(low, high)).groupBy(bins).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for row in sorted(counted.collect(), key=lambda r: r["bin"]):
+            if rank < row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            rank -= row["n"]
+    return float(low)
 
 
 def held_out(id_col: str = "doc_id"):

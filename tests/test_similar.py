@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,49 @@ def test_large_groups_give_few_pairs(spark, monkeypatch):
     assert set(got.values()) == {0} and sum(pairs) < 700 * 10  # of 244,650
 
 
+def compared(spark, monkeypatch, rows):
+    """The pairs that bitmaps, and then sets, are compared of; and the groups."""
+    met, alike = [], []
+    for seen, name in ((met, "_alike"), (alike, "_verified")):
+        plain = getattr(similar, name)
+        monkeypatch.setattr(similar, name, lambda p, *rest, seen=seen, plain=plain: seen.append(p.count()) or plain(p, *rest))
+    links = similar.near_text_links(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    return sum(met), sum(alike), least_of([i for i, _ in rows], [(r.a, r.b) for r in links])
+
+
+def test_sets_of_unlike_pairs_do_not_move(spark, monkeypatch):
+    passages = [[f"p{k}.{i}" for i in range(8)] for k in range(3)]
+    rows = [(i, " ".join(f"x{i}.{j}" for j in range(20)) + " " + " ".join(passages[i % 3])) for i in range(150)]  # passages of 50 rows each
+    met, alike, got = compared(spark, monkeypatch, rows)
+    assert len(set(got.values())) == 150 and met > 100 and alike == 0
+
+
+def test_a_group_about_the_bound_gives_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(400):
+        words = base[:]
+        for k in rng.sample(range(400), rng.randint(1, 20)):
+            words[k] = f"x{i}.{k}"
+        rows.append((i, " ".join(words)))
+    met, alike, got = compared(spark, monkeypatch, rows)
+    assert got == least_of(range(400), brute(rows)) and 20 < len(set(got.values())) < 380
+    assert met < 400 * 60 and alike < 400 * 30  # of 79,800
+
+
+def test_bitmaps_reject_no_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 15, 16, 17, 300, 5000):
+        a = rng.integers(0, 1 << 63, n)
+        for share in (0.0, 0.5, 0.8, 1.0):
+            b = np.concatenate([a[: int(n * share)], rng.integers(0, 1 << 63, int(n * (1.25 - share)))])
+            x, y = np.unique(a), np.unique(b)
+            if len(y):
+                most, shared = similar.most_shared(len(x), similar.bitmap(x), len(y), similar.bitmap(y)), len(np.intersect1d(x, y))
+                assert shared <= most and (n < 300 or most - shared < 0.25 * n)
+
+
 def windowed(rows, gap):
     out = []
     by = {}
